@@ -30,7 +30,23 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", F.col("source_size").cast("bigint").alias("source_size"), "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op4_quality_rules, op7_source_mix)}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from vellumgrid.llm.token_counts import count_tokens
+
+    return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from vellumgrid.llm.bpe_codec import encode_documents
+
+    return encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op3_url_filter, op4_quality_rules, op7_source_mix, op9_token_counts, op10_bpe_codec)}
 
 WS = r"[\x20\x09-\x0D]+"
 _N_WORDS = rf"CASE WHEN trim(coalesce(text, ''), chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) = '' THEN 0 ELSE len(regexp_split_to_array(trim(text, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), '{WS}')) END"
