@@ -146,7 +146,9 @@ class Codec:
             begin = end
 
 
-codec = lru_cache(maxsize=2)(Codec)
+@lru_cache(maxsize=2)
+def codec(path: str) -> Codec:
+    return Codec(path)
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", full: bool = False) -> DataFrame:

@@ -24,6 +24,20 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumgrid.llm.language_id import identify_language
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    docs = read_table(spark, sf_dir, "documents")
+    return identify_language(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumgrid.llm.topk_search import top_k
+
+    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score")
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellumgrid.llm.mixing import mix_sources
 
@@ -46,7 +60,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op4_quality_rules, op7_source_mix, op9_token_counts, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op3_url_filter, op4_quality_rules, op5_language_id, op6_topk_search, op7_source_mix, op9_token_counts, op10_bpe_codec)}
 
 WS = r"[\x20\x09-\x0D]+"
 _N_WORDS = rf"CASE WHEN trim(coalesce(text, ''), chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) = '' THEN 0 ELSE len(regexp_split_to_array(trim(text, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), '{WS}')) END"

@@ -109,7 +109,9 @@ class Counter:
         return len(parts) - 1 + sum(sum(map(get, find(p))) for p in parts)
 
 
-counter = lru_cache(maxsize=4)(Counter)
+@lru_cache(maxsize=2)
+def counter(path: str) -> Counter:
+    return Counter(path)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text: str = "text") -> DataFrame:
