@@ -18,6 +18,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", fold("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumgrid.llm.ngram_join import Threshold, jaccard_components
+
+    return jaccard_components(read_table(spark, sf_dir, "documents"), 3, Threshold(90, 100)).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellumgrid.llm.url_filter import filter_urls
 
@@ -68,7 +74,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_url_filter, op4_quality_rules, op5_language_id, op6_topk_search, op7_source_mix, op9_token_counts, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_url_filter, op4_quality_rules, op5_language_id, op6_topk_search, op7_source_mix, op9_token_counts, op10_bpe_codec)}
 
 WS = r"[\x20\x09-\x0D]+"
 _N_WORDS = rf"CASE WHEN trim(coalesce(text, ''), chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) = '' THEN 0 ELSE len(regexp_split_to_array(trim(text, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), '{WS}')) END"
