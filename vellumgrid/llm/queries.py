@@ -58,6 +58,12 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", F.col("source_size").cast("bigint").alias("source_size"), "target", "taken")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumgrid.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,7 +80,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_url_filter, op4_quality_rules, op5_language_id, op6_topk_search, op7_source_mix, op9_token_counts, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_url_filter, op4_quality_rules, op5_language_id, op6_topk_search, op7_source_mix, op8_suffix_dedup, op9_token_counts, op10_bpe_codec)}
 
 WS = r"[\x20\x09-\x0D]+"
 _N_WORDS = rf"CASE WHEN trim(coalesce(text, ''), chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) = '' THEN 0 ELSE len(regexp_split_to_array(trim(text, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), '{WS}')) END"
