@@ -30,7 +30,9 @@ from vellumgrid.llm.components import connected_components
 from vellumgrid.llm.shingles import shingle_sets
 
 #: Hash groups of a count vector; entries of an R-tree node; members of a cell, or block of one, at most.
-GROUPS, FANOUT, CELL = 64, 16, 2048
+GROUPS, FANOUT, CELL = 32, 16, 2048
+#: Counts are 16-bit; a larger set has this count in every group, which rules nothing out.
+FULL = (1 << 16) - 1
 #: Partners of a member in the first round of cells.
 NEAREST = 4
 #: Texts sampled for common shingles; shingles held as common, at most.
@@ -142,7 +144,7 @@ def cell_join(t: Threshold, nearest: int | None):
     def run(rows: pa.Table) -> pa.Table:
         key, ids, comps = (np.asarray(rows.column(c)) for c in ("key", "cls", "comp"))
         sizes, side = np.asarray(rows.column("n")), np.asarray(rows.column("side"))
-        points = np.array([np.frombuffer(x, np.int32) for x in rows.column("counts").to_pylist()]).reshape(len(ids), GROUPS)
+        points = np.array([np.frombuffer(x, np.uint16) for x in rows.column("counts").to_pylist()]).reshape(len(ids), GROUPS).astype(np.int64)
         order = np.argsort(key, kind="stable")
         out: set[tuple[int, int]] = set()
         for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
@@ -175,26 +177,41 @@ def residual_pairs(members: DataFrame, comps: DataFrame | None, sets: DataFrame,
     return pairs.distinct()
 
 
+def plausible(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """The pairs that their sizes and count vectors allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
+            ca, cb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, GROUPS) for i in (4, 5))
+            bound = np.minimum(ca, cb).sum(axis=1, dtype=np.int64)
+            keep = pa.array(np.flatnonzero((t.num + t.den) * bound >= t.num * (na + nb)))
+            yield pa.record_batch([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
+
+    side = lambda k: sets.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}"))
+    fits = (F.col("na") * t.den >= F.col("nb") * t.num) & (F.col("nb") * t.den >= F.col("na") * t.num)
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b", "na", "nb", "ca", "cb")
+    return joined.mapInArrow(run, "a bigint, b bigint")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     """The pairs that are links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = {n: batch.column(i).to_pylist() for i, n in enumerate(("a", "b", "na", "nb", "ca", "cb", "sa", "sb"))}
+            col = [batch.column(i).to_pylist() for i in range(2, 6)]
             keep = []
-            for i, (na, nb) in enumerate(zip(col["na"], col["nb"], strict=True)):
-                bound = np.minimum(np.frombuffer(col["ca"][i], np.int32), np.frombuffer(col["cb"][i], np.int32)).sum()
-                if t.linked(int(bound), na, nb):
-                    both = np.concatenate([unpack(col["sa"][i]), unpack(col["sb"][i])])
-                    both.sort(kind="stable")
-                    if t.linked(int((both[1:] == both[:-1]).sum()), na, nb):
-                        keep.append(i)
-            yield pa.record_batch([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
-
-    side = lambda k: sets.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}"), F.col("s").alias(f"s{k}"))
-    fits = (F.col("na") * t.den >= F.col("nb") * t.num) & (F.col("nb") * t.den >= F.col("na") * t.num)
-    joined = pairs.join(side("a"), "a").join(sets.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b").where(fits).drop("nb").join(side("b"), "b")
-    return joined.select("a", "b", "na", "nb", "ca", "cb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+            for i, (na, nb, sa, sb) in enumerate(zip(*col, strict=True)):
+                both = np.concatenate([unpack(sa), unpack(sb)])
+                both.sort(kind="stable")
+                if t.linked(int((both[1:] == both[:-1]).sum()), na, nb):
+                    keep.append(i)
+            places = pa.array(keep, pa.int64())
+            yield pa.record_batch([batch.column(0).take(places), batch.column(1).take(places)], ["a", "b"])
+
+    side = lambda k: sets.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("s").alias(f"s{k}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
 def unpack(packed: bytes) -> np.ndarray:
@@ -220,6 +237,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: Threshold = Threshold(
             yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), cls], ["id", "n", "cls"])
 
     common = common_shingles(docs, size)
+    release_shuffles(spark)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +259,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: Threshold = Threshold(
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column(0), size))
-            counts = [np.bincount((s >> np.uint64(64 - 6)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes() for s in sets]
+            shift = np.uint64(65 - GROUPS.bit_length())
+            counts = [(np.bincount((s >> shift).astype(np.int64), minlength=GROUPS) if len(s) < FULL else np.full(GROUPS, FULL)).astype(np.uint16).tobytes() for s in sets]
             raw = [s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes() for s in sets]
             yield pa.record_batch([pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(counts, pa.binary()), pa.array(raw, pa.binary())], ["cls", "n", "counts", "s"])
 
@@ -251,6 +270,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: Threshold = Threshold(
     release_shuffles(spark)
     pair = lambda p: members.select(F.least("cls", p).alias("a"), F.greatest("cls", p).alias("b"))
     pivots = pair("lo").unionByName(pair("hi")).where("a <> b").distinct()
+    pivots = materialize(plausible(pivots, sets, t), "pivots")
+    release_shuffles(spark)
     links = materialize(verify(pivots, sets, t), "links")
     members = members.select("key", "cls")
     comps = None
