@@ -16,7 +16,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -114,15 +114,17 @@ def runs_of(row: np.ndarray, window: np.ndarray) -> Iterator[tuple[int, int, int
             yield int(row[a]), int(window[a]), int(window[b - 1])
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text: str = "text", kept: bool = False) -> DataFrame:
-    """One row a row of docs: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and with kept the
-    remaining text (a character that lost some of its bytes goes as a whole).
+def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text: str = "text", kept: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """One row a row of docs: id, the columns of keep, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and
+    with kept the remaining text (a character that lost some of its bytes goes as a whole).
 
     Null texts are empty; texts under `length` bytes stay whole. Repeated rows are one document to each other: none is
     earlier. Rows with a null id, or with an id that rows of other texts share, have no place in the order: they stay whole
     and repeat nothing. An empty table gives an empty result."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
+    keep = [c for c in keep if c != id_col]
+    whole = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("row"))
+    docs = whole.select("id", "text")
     shared = docs.where("id IS NOT NULL").groupBy("id").agg(F.min(F.xxhash64("text")).alias("x"), F.max(F.xxhash64("text")).alias("y")).where("x <> y").select("id")
     shared = materialize(shared, "shared")
     own = docs.where("id IS NOT NULL")
@@ -224,8 +226,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                 for x, v in zip(out, (len(raw), removed, n_spans, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if kept else None), strict=True):
                     x.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.record_batch([batch.column(0), *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.record_batch([batch.column(0), batch.column(3), *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]], ["id", "row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = docs.join(by_doc, "id", "left").select("id", "text", "spans")
-    made = joined.mapInArrow(finish, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
-    return (made if kept else made.drop("kept")).withColumnRenamed("id", id_col)
+    joined = whole.join(by_doc, "id", "left").select("id", "text", "spans", "row")
+    row = joined.schema["row"].dataType.simpleString()
+    made = joined.mapInArrow(finish, f"id bigint, row {row}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
+    return made.select(F.col("id").alias(id_col), *[F.col("row")[c].alias(c) for c in keep], "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * kept)
