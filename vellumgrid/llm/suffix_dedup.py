@@ -97,10 +97,11 @@ def repeats_in(starts: np.ndarray, counts: np.ndarray, raw: list[bytes], ids: np
     shared = common_prefixes(order, words, length)
     group = np.cumsum(shared < length)
     who = owner[order]
-    by = np.lexsort((lo[row[who]] + window[who], ids[row[who]], group))
-    later = np.zeros(len(order), bool)
-    later[1:] = group[by][1:] == group[by][:-1]
-    again = who[by][later]
+    doc, begin = ids[row[who]], lo[row[who]] + window[who]
+    by = np.lexsort((begin, doc, group))
+    heads = np.flatnonzero(np.diff(group[by], prepend=-1))
+    head = by[np.repeat(heads, np.diff(heads, append=len(by)))]
+    again = who[by][(doc[by] != doc[head]) | (begin[by] != begin[head])]  # rows given twice are one
     return row[again], window[again]
 
 
