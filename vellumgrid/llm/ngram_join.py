@@ -4,8 +4,9 @@
 2. Two sets over the threshold share a shingle among the first n - ceil(t n) + 1 of each, in any order common to all.
    The order puts the shingles that a bounded sample found common last; it decides the cost, never the result. Each such
    shingle that two classes share is a cell; all others are dropped after a pre-aggregated count.
-3. Every member of a cell is held against two pivots of it, which joins most groups of near copies in a number of pairs
-   in proportion to their members. Links are merged into components.
+3. Every member of a cell is held against two pivots of it. First one pivot of each member that its count vector allows is
+   verified, which joins most groups of near copies by as many pairs as they have members; then those that still lie in
+   different components. Links are merged into components.
 4. In cells that still hold several components, tokens are hashed into GROUPS groups; the counts by group are a member's
    point. A packed R-tree over the points finds pairs of different components whose summed coordinate minima (from above:
    the minima with a node's upper corner) allow the overlap needed. A first round takes NEAREST partners of a member, so
@@ -41,6 +42,8 @@ SAMPLE, COMMON = 20_000, 200_000
 BUCKET = 20_000
 #: Bytes kept of each hash in the sets that are compared; within one pair of sets chance matches are out of question.
 KEPT = 5
+#: Ids that are broadcast to find their texts, at most; beyond that texts and ids are shuffled.
+BROADCAST = 200_000
 
 
 @dataclass(frozen=True)
@@ -155,13 +158,15 @@ def cell_join(t: Threshold, nearest: int | None):
     return run
 
 
-def residual_pairs(members: DataFrame, comps: DataFrame | None, sets: DataFrame, t: Threshold, nearest: int | None) -> DataFrame:
+def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components."""
+    end = lambda k: comps.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+    return pairs.join(end("a"), "a", "left").join(end("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def residual_pairs(members: DataFrame, comps: DataFrame, sets: DataFrame, t: Threshold, nearest: int | None) -> DataFrame:
     """Candidate pairs (a, b) from cells that hold more than one component."""
-    own = members
-    if comps is not None:
-        own = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).select("key", "cls", "comp")
-    else:
-        own = members.withColumn("comp", F.col("cls"))
+    own = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).select("key", "cls", "comp")
     # a cell of two members is done: its pivots were its only pair
     open_cells = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi AND m > 2").select("key", "m")
     rows = own.join(open_cells, "key").join(sets.select("cls", "n", "counts"), "cls").select("key", "cls", "comp", "n", "counts", "m")
@@ -194,8 +199,31 @@ def plausible(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+def count_vector(s: np.ndarray) -> bytes:
+    shift = np.uint64(65 - GROUPS.bit_length())
+    return (np.bincount((s >> shift).astype(np.int64), minlength=GROUPS) if len(s) < FULL else np.full(GROUPS, FULL)).astype(np.uint16).tobytes()
+
+
+def sets_of(classes: DataFrame, lite: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """cls, n and s (the packed set) of the classes (column cls)."""
+    ids = materialize(classes.join(lite, "cls").select(F.col("rep").alias("id")).distinct(), "ids")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s for s in shingle_sets(batch.column(0), size) if len(s)]
+            raw = [s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes() for s in sets]
+            yield pa.record_batch([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(raw, pa.binary())], ["cls", "n", "s"])
+
+    side = F.broadcast(ids) if ids.count() <= BROADCAST else ids
+    return materialize(docs.join(side, "id", "left_semi").select("text").mapInArrow(packed, "cls bigint, n bigint, s binary"), "sets")
+
+
+def verify(pairs: DataFrame, lite: DataFrame, docs: DataFrame, size: int, t: Threshold) -> DataFrame:
     """The pairs that are links."""
+    pairs = materialize(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), lite, docs, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +239,9 @@ def verify(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
 
     side = lambda k: sets.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("s").alias(f"s{k}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    links = materialize(joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint"), "links")
+    release_shuffles(links.sparkSession)
+    return links
 
 
 def unpack(packed: bytes) -> np.ndarray:
@@ -234,7 +264,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: Threshold = Threshold(
         for batch in batches:
             sets = list(shingle_sets(batch.column(1), size))
             cls = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), cls], ["id", "n", "cls"])
+            counts = pa.array([count_vector(s) for s in sets], pa.binary())
+            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), cls, counts], ["id", "n", "cls", "counts"])
 
     common = common_shingles(docs, size)
     release_shuffles(spark)
@@ -248,40 +279,27 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: Threshold = Threshold(
                     cls.append(np.full(len(keys[-1]), class_of(s), np.int64))
             yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64()), pa.array(np.concatenate(cls) if cls else [], pa.int64())], ["key", "cls"])
 
-    profile = materialize(docs.mapInArrow(profiles, f"id {ids}, n bigint, cls bigint"), "profile")
-    classes = profile.where("cls IS NOT NULL AND id IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"))
-    exploded = docs.where("id IS NOT NULL").select("text").mapInArrow(prefixes, "key bigint, cls bigint")
+    profile = materialize(docs.mapInArrow(profiles, f"id {ids}, n bigint, cls bigint, counts binary"), "profile")
+    classes = profile.where("cls IS NOT NULL AND id IS NOT NULL").groupBy("cls").agg(F.min(F.struct("id", "n", "counts")).alias("first"))
+    lite = materialize(classes.select("cls", F.col("first.id").alias("rep"), "first.n", "first.counts"), "classes")
+    docs = docs.where("id IS NOT NULL")
+    exploded = docs.select("text").mapInArrow(prefixes, "key bigint, cls bigint")
     cells = materialize(exploded.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi"), "cells")
     release_shuffles(spark)
     members = materialize(exploded.join(cells, "key").select("key", "cls", "lo", "hi").distinct(), "members")
     release_shuffles(spark)
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(shingle_sets(batch.column(0), size))
-            shift = np.uint64(65 - GROUPS.bit_length())
-            counts = [(np.bincount((s >> shift).astype(np.int64), minlength=GROUPS) if len(s) < FULL else np.full(GROUPS, FULL)).astype(np.uint16).tobytes() for s in sets]
-            raw = [s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes() for s in sets]
-            yield pa.record_batch([pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(counts, pa.binary()), pa.array(raw, pa.binary())], ["cls", "n", "counts", "s"])
-
-    involved = members.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("id")).distinct()
-    sets = docs.join(involved, "id", "left_semi").select("text").mapInArrow(packed, "cls bigint, n bigint, counts binary, s binary").where("cls IS NOT NULL")
-    sets = materialize(sets, "sets")
-    release_shuffles(spark)
     pair = lambda p: members.select(F.least("cls", p).alias("a"), F.greatest("cls", p).alias("b"))
-    pivots = pair("lo").unionByName(pair("hi")).where("a <> b").distinct()
-    pivots = materialize(plausible(pivots, sets, t), "pivots")
+    pivots = materialize(plausible(pair("lo").unionByName(pair("hi")).where("a <> b").distinct(), lite, t), "pivots")
     release_shuffles(spark)
-    links = materialize(verify(pivots, sets, t), "links")
     members = members.select("key", "cls")
-    comps = None
+    links = verify(pivots.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), lite, docs, size, t)
+    comps = connected_components(links)
+    links = links.unionByName(verify(apart(pivots, comps), lite, docs, size, t))
     for nearest in (NEAREST, None):
         comps = materialize(connected_components(links), "components")
-        more = materialize(verify(residual_pairs(members, comps, sets, t, nearest), sets, t), "more")
-        links = links.unionByName(more)
-        release_shuffles(spark)
+        links = links.unionByName(verify(residual_pairs(members, comps, lite, t, nearest), lite, docs, size, t))
     comps = connected_components(links).withColumnRenamed("node", "cls")
-    grouped = classes.join(comps, "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
+    grouped = lite.join(comps, "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
     grouped = materialize(grouped, "grouped")
     least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = grouped.join(least, "component").select("cls", F.col("rep").alias("class_id"), "component_id")
