@@ -30,7 +30,7 @@ from vellumgrid.llm.suffix_sort import common_prefixes, sort_suffixes, words8
 #: Bytes of an anchor; contexts of an anchor that are gathered, at most; contexts in a shard, about.
 ANCHOR, HOT, SHARD = 24, 4096, 12_000
 #: Bytes of text hashed at once, unless one text is longer.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: A place holds the first window's start, the further windows and the anchor's offset, of PART bits each.
 PART = 20
 
