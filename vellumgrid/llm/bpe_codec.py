@@ -29,6 +29,8 @@ from vellumgrid.llm.bytehash import BLANK, buffer_of, prefix_sums, span_hashes
 WINDOW, CUT_BITS, CACHE_BYTES = 16, 8, 24 << 20
 #: Bytes of text that are hashed at once, unless one text is longer.
 BLOCK = 1 << 20
+#: Texts whose results are held at once.
+ROWS = 500
 #: Words remembered by a worker, and the length of the longest of these. The first ones stay, as these are the common ones;
 #: a full cache starts anew after it has missed four times its size.
 WORDS, WORD_BYTES = 200_000, 48
@@ -160,7 +162,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             made = list(c.encode(batch.column(1)))
             sha = lambda i: pa.array([hashlib.sha256(m[i]).hexdigest() for m in made], pa.string())  # noqa: E731, B023
             columns = [batch.column(0), pa.array([m[0] for m in made], pa.int64()), sha(1), sha(2)]
