@@ -31,9 +31,9 @@ from vellumgrid.llm.components import connected_components
 from vellumgrid.llm.shingles import shingle_sets
 
 #: Hash groups of a count vector; entries of an R-tree node; members of a cell, or block of one, at most.
-GROUPS, FANOUT, CELL = 32, 16, 2048
-#: Counts are 16-bit; a larger set has this count in every group, which rules nothing out.
-FULL = (1 << 16) - 1
+GROUPS, FANOUT, CELL = 256, 16, 2048
+#: Counts are bytes; a set with a larger count has this one in every group, which stands for no bound at all.
+FULL = 255
 #: Partners of a member in the first round of cells.
 NEAREST = 4
 #: Texts sampled for common shingles; shingles held as common, at most.
@@ -44,6 +44,8 @@ BUCKET = 20_000
 KEPT = 5
 #: Ids that are broadcast to find their texts, at most; beyond that texts and ids are shuffled.
 BROADCAST = 200_000
+#: Texts whose sets are held at once.
+ROWS = 500
 
 
 @dataclass(frozen=True)
@@ -147,7 +149,8 @@ def cell_join(t: Threshold, nearest: int | None):
     def run(rows: pa.Table) -> pa.Table:
         key, ids, comps = (np.asarray(rows.column(c)) for c in ("key", "cls", "comp"))
         sizes, side = np.asarray(rows.column("n")), np.asarray(rows.column("side"))
-        points = np.array([np.frombuffer(x, np.uint16) for x in rows.column("counts").to_pylist()]).reshape(len(ids), GROUPS).astype(np.int64)
+        points = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8).reshape(len(ids), GROUPS).astype(np.int64)
+        points[(points == FULL).all(axis=1)] = 1 << 40
         order = np.argsort(key, kind="stable")
         out: set[tuple[int, int]] = set()
         for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
@@ -188,8 +191,9 @@ def plausible(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (batch.column(i).to_numpy() for i in (2, 3))
-            ca, cb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, GROUPS) for i in (4, 5))
-            bound = np.minimum(ca, cb).sum(axis=1, dtype=np.int64)
+            ca, cb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, GROUPS) for i in (4, 5))
+            least = np.minimum(ca, cb)
+            bound = np.where((least == FULL).all(axis=1), np.minimum(na, nb), least.sum(axis=1, dtype=np.int64))
             keep = pa.array(np.flatnonzero((t.num + t.den) * bound >= t.num * (na + nb)))
             yield pa.record_batch([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
@@ -201,7 +205,8 @@ def plausible(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
 
 def count_vector(s: np.ndarray) -> bytes:
     shift = np.uint64(65 - GROUPS.bit_length())
-    return (np.bincount((s >> shift).astype(np.int64), minlength=GROUPS) if len(s) < FULL else np.full(GROUPS, FULL)).astype(np.uint16).tobytes()
+    counts = np.bincount((s >> shift).astype(np.int64), minlength=GROUPS)
+    return (counts if counts.max(initial=0) < FULL else np.full(GROUPS, FULL)).astype(np.uint8).tobytes()
 
 
 def sets_of(classes: DataFrame, lite: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -260,30 +265,26 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: Threshold = Threshold(
     docs = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     ids = docs.schema["id"].dataType.simpleString()
 
+    common = common_shingles(docs, size)
+    release_shuffles(spark)
+
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             sets = list(shingle_sets(batch.column(1), size))
             cls = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
             counts = pa.array([count_vector(s) for s in sets], pa.binary())
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), cls, counts], ["id", "n", "cls", "counts"])
-
-    common = common_shingles(docs, size)
-    release_shuffles(spark)
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, cls = [], []
-            for s in shingle_sets(batch.column(0), size):
-                if t.den * len(s) >= t.num * (len(s) + 1):  # else only equal sets link
-                    keys.append(prefix_of(s, t, common))
-                    cls.append(np.full(len(keys[-1]), class_of(s), np.int64))
-            yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64()), pa.array(np.concatenate(cls) if cls else [], pa.int64())], ["key", "cls"])
-
-    profile = materialize(docs.mapInArrow(profiles, f"id {ids}, n bigint, cls bigint, counts binary"), "profile")
-    classes = profile.where("cls IS NOT NULL AND id IS NOT NULL").groupBy("cls").agg(F.min(F.struct("id", "n", "counts")).alias("first"))
-    lite = materialize(classes.select("cls", F.col("first.id").alias("rep"), "first.n", "first.counts"), "classes")
+            # sets that only equal sets can link to need no keys
+            keys = [prefix_of(s, t, common) if t.den * len(s) >= t.num * (len(s) + 1) else s[:0] for s in sets]
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64()))
+            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), cls, counts, lists], ["id", "n", "cls", "counts", "keys"])
+
+    profile = materialize(docs.mapInArrow(profiles, f"id {ids}, n bigint, cls bigint, counts binary, keys array<bigint>"), "profile")
+    known = profile.where("cls IS NOT NULL AND id IS NOT NULL")
+    lite = known.groupBy("cls").agg(F.min(F.struct("id", "n", "counts")).alias("first"))
+    lite = materialize(lite.select("cls", F.col("first.id").alias("rep"), "first.n", "first.counts"), "classes")
     docs = docs.where("id IS NOT NULL")
-    exploded = docs.select("text").mapInArrow(prefixes, "key bigint, cls bigint")
+    exploded = known.select(F.explode("keys").alias("key"), "cls")
     cells = materialize(exploded.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi"), "cells")
     release_shuffles(spark)
     members = materialize(exploded.join(cells, "key").select("key", "cls", "lo", "hi").distinct(), "members")
@@ -303,6 +304,6 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: Threshold = Threshold(
     grouped = materialize(grouped, "grouped")
     least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = grouped.join(least, "component").select("cls", F.col("rep").alias("class_id"), "component_id")
-    some = profile.where("cls IS NOT NULL AND id IS NOT NULL").join(named, "cls").select("id", "n", "class_id", "component_id")
+    some = known.select("id", "n", "cls").join(named, "cls").select("id", "n", "class_id", "component_id")
     none = profile.where("cls IS NULL OR id IS NULL").select("id", "n", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
     return some.unionByName(none).withColumnRenamed("n", "n_shingles").withColumnRenamed("id", id_col)
