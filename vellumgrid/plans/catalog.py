@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellumgrid.operators import audit
 from vellumgrid.operators.scalars import SCALARS
 from vellumgrid.plans.dialect import ENGINE, ORACLE, Dialect, Statement, run
 from vellumgrid.sources.tables import corpus_blocks, corpus_blocks_sql, load
@@ -33,7 +34,7 @@ def oracle(template: Template) -> str:
 
 
 def templates() -> dict[str, Template]:
-    return {**SCALARS}
+    return {**SCALARS, **audit.STATEMENTS, **audit.GATE}
 
 
 def queries() -> dict[str, Query]:
