@@ -17,12 +17,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumgrid.llm.bytehash import mix
@@ -46,6 +47,8 @@ KEPT = 5
 BROADCAST = 200_000
 #: Texts whose sets are held at once.
 ROWS = 500
+#: Bits of a class number that hold the size of its set, in powers of SIZE_STEP.
+SIZE_BITS, SIZE_STEP = 10, 1.02
 
 
 @dataclass(frozen=True)
@@ -62,10 +65,18 @@ class Threshold:
         return self.den * common >= self.num * (a + b - common)
 
 
+    def near(self, a: Column, b: Column) -> Column:
+        """Whether the sizes that two class numbers hold allow a link."""
+        steps = math.ceil(math.log(self.den / self.num) / math.log(SIZE_STEP)) + 1
+        size = lambda c: c.bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
+        return F.abs(size(a) - size(b)) <= steps
+
+
 def class_of(s: np.ndarray) -> int:
-    """A hash of a set, as a signed 64-bit number."""
-    total = mix(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64) ^ np.bitwise_xor.reduce(mix(s)))
-    return int(total.astype(np.int64)[0])
+    """A number for a set, signed: a hash, and in the last SIZE_BITS bits its size in steps of SIZE_STEP."""
+    total = int(mix(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64) ^ np.bitwise_xor.reduce(mix(s)))[0])
+    total = total >> SIZE_BITS << SIZE_BITS | min((1 << SIZE_BITS) - 1, int(math.log(len(s)) / math.log(SIZE_STEP)))
+    return total - (1 << 64) if total >> 63 else total
 
 
 def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
@@ -289,7 +300,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: Threshold = Threshold(
     release_shuffles(spark)
     members = materialize(exploded.join(cells, "key").select("key", "cls", "lo", "hi").distinct(), "members")
     release_shuffles(spark)
-    pair = lambda p: members.select(F.least("cls", p).alias("a"), F.greatest("cls", p).alias("b"))
+    pair = lambda p: members.where(t.near(F.col("cls"), F.col(p))).select(F.least("cls", p).alias("a"), F.greatest("cls", p).alias("b"))
     pivots = materialize(plausible(pair("lo").unionByName(pair("hi")).where("a <> b").distinct(), lite, t), "pivots")
     release_shuffles(spark)
     members = members.select("key", "cls")
