@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumgrid.operators import audit
+from vellumgrid.operators import audit, relational, sequential, structure
 from vellumgrid.operators.scalars import SCALARS
 from vellumgrid.plans.dialect import ENGINE, ORACLE, Dialect, Statement, run
 from vellumgrid.sources.tables import corpus_blocks, corpus_blocks_sql, load
@@ -34,11 +34,11 @@ def oracle(template: Template) -> str:
 
 
 def templates() -> dict[str, Template]:
-    return {**SCALARS, **audit.STATEMENTS, **audit.GATE}
+    return {**SCALARS, **audit.STATEMENTS, **audit.GATE, **structure.STATEMENTS, **relational.STATEMENTS}
 
 
 def queries() -> dict[str, Query]:
-    return {n: query(t) for n, t in templates().items()}
+    return {**{n: query(t) for n, t in templates().items()}, **sequential.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -67,6 +67,7 @@ BLOCKS = [
     # orthography and dictionary
     (-9, 0, "Herşey yolunda ve birçok şeyi hiçbirşey değiştirmez; pekçok kişi herşeyi bilir."),
     (-9, 1, "Mahkemenin karari kesindir ve kararı onanmıştır; Karari."),
+    (-9, 2, "Muvekkilin beyanı ve kararinin gerekçesi açıktır."),
     (-10, 0, "Temiz bir cümle yazdık. Hiçbir kusuru yoktur."),
     (-10, 1, ""),
     (-10, 2, "   "),
