@@ -5,8 +5,9 @@ taken floor(rate) times for certain; the remaining words come from one more copy
 the odds of the rate's fraction. Documents are ranked by (u / (1 - u)) / (p / (1 - p)), with u a hash of the document and
 p its inclusion probability, and taken in this order until the words due are reached as nearly as one document allows.
 
-No source is sorted as a whole: words are summed by source and rank bucket, the bucket in which the sum crosses what is
-due is found in that small table, and only its documents (one in BUCKETS of a source) are put in order.
+No source is sorted as a whole: words are summed by source and rank bucket, and the bucket in which the sum crosses what
+is due is found in that small table, BUCKETS rows a source; then once more over the finer buckets within it. Only the
+documents of one fine bucket, one in BUCKETS * BUCKETS of a source, are put in order.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from vellumgrid.llm.common import materialize, words
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Copies of a document, and so words of a source, at most.
 MOST_COPIES = 3
-#: Rank buckets of a source.
-BUCKETS = 1 << 16
+#: Rank buckets of a source, and finer ones of a bucket.
+BUCKETS = 256
 
 
 def source_targets(sized: DataFrame, weights: Sequence[float], most: int) -> DataFrame:
@@ -46,9 +47,17 @@ def source_targets(sized: DataFrame, weights: Sequence[float], most: int) -> Dat
     return levels.withColumn("share", first).select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("share") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def bucket_of(odds: Column) -> Column:
+def bucket_of(odds: Column, buckets: int) -> Column:
     """Rank bucket: the odds ratio, taken back to 0 to 1."""
-    return F.least(F.lit(BUCKETS - 1), F.floor(odds / (odds + 1) * BUCKETS)).cast("int")
+    return F.least(F.lit(buckets - 1), F.floor(odds / (odds + 1) * buckets)).cast("int")
+
+
+def crossing_bucket(ranked: DataFrame, bucket: str) -> DataFrame:
+    """Of each source the bucket in which its words, after `start`, reach what is due: c_source, c_bucket, before."""
+    sums = ranked.groupBy("source", "due", "start", bucket).agg(F.sum("size").alias("words"))
+    before = F.col("start") + F.sum("words").over(Window.partitionBy("source").orderBy(bucket)) - F.col("words")
+    found = sums.withColumn("before", before).where("before < due and before + words >= due")
+    return materialize(found.select(F.col("source").alias("c_source"), F.col(bucket).alias("c_bucket"), "before"), "crossing")
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_COPIES, id_col: str = "doc_id", text: str = "text", source: str = "source", keep: Sequence[str] = ()) -> DataFrame:
@@ -65,12 +74,12 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int =
     plan = targets.withColumn("rate", F.least(rate, F.lit(float(most)))).withColumn("whole", F.floor("rate").cast("int")).withColumn("p", F.col("rate") - F.col("whole")).withColumn("due", F.col("p") * F.col("source_size"))
     u = (F.shiftrightunsigned(F.col("h"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     odds = F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
-    ranked = sized.withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(F.col("source"))).drop("s").withColumn("rank", odds).withColumn("bucket", bucket_of(odds))
-    sums = ranked.where("p > 0").groupBy("source", "due", "bucket").agg(F.sum("size").alias("words"))
-    before = F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")
-    crossing = sums.withColumn("before", before).where("before < due and before + words >= due").select(F.col("source").alias("c_source"), F.col("bucket").alias("c_bucket"), "before")
-    crossing = materialize(crossing, "crossing")
-    placed = ranked.join(crossing, F.col("source").eqNullSafe(F.col("c_source")), "left")
+    ranked = sized.withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(F.col("source"))).drop("s").withColumn("rank", odds)
+    ranked = ranked.withColumn("coarse", bucket_of(F.col("rank"), BUCKETS)).withColumn("bucket", bucket_of(F.col("rank"), BUCKETS * BUCKETS))
+    same = F.col("source").eqNullSafe(F.col("c_source"))
+    first = crossing_bucket(ranked.where("p > 0").withColumn("start", F.lit(0)), "coarse")
+    crossing = crossing_bucket(ranked.join(first.withColumnRenamed("before", "start"), same & (F.col("coarse") == F.col("c_bucket"))), "bucket")
+    placed = ranked.join(crossing, same, "left")
     inside = F.coalesce(F.col("bucket") < F.col("c_bucket"), F.lit(False))
     edge = F.coalesce(F.col("bucket") == F.col("c_bucket"), F.lit(False))
     order = Window.partitionBy("source", "bucket").orderBy("rank", "id", "size", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
