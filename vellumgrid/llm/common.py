@@ -5,7 +5,10 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,8 @@ WS_CHARS = " \t\n\x0b\x0c\r"
 WS = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Rows of a file where their number is known; they are narrow.
+ROWS_A_FILE = 250_000
 _own_dir: str | None = None
 
 
@@ -28,14 +33,49 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: later stages survive lost executors and don't repeat the work.
+_scopes = threading.local()
 
-    The table lives as long as the shared folder does."""
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialize() writes inside go when the block ends, but for those given to retain()."""
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in stack.pop():
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
+def retain(table: DataFrame) -> DataFrame:
+    """Leaves a table of the innermost scratch block to what is around it."""
+    stack = _scopes.__dict__.get("stack", [])
+    path = getattr(table, "_own_path", None)
+    if stack and path in stack[-1]:
+        stack[-1].remove(path)
+        if len(stack) > 1:
+            stack[-2].append(path)
+    return table
+
+
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: later stages survive lost executors and don't repeat the
+    work. rows: at most so many are written, and so few files do; null: unknown.
+
+    The table lives as long as the scratch block around it, else as long as the shared folder."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vellumgrid-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    root = f"{shared_dir(spark)}/vellumgrid-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+    df.write.option("compression", "zstd").parquet(f"{root}/{tag}")
+    if stack := _scopes.__dict__.get("stack", []):
+        stack[-1].append(root)
+    table = spark.read.schema(df.schema).parquet(f"{root}/{tag}")
+    table._own_path = root
+    return table
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumgrid.llm.bytehash import mix
-from vellumgrid.llm.common import materialize, release_shuffles
+from vellumgrid.llm.common import materialize, release_shuffles, retain, scratch
 from vellumgrid.llm.components import connected_components
 from vellumgrid.llm.shingles import shingle_sets
 
@@ -290,31 +290,33 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: Threshold = Threshold(
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64()))
             yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), cls, counts, lists], ["id", "n", "cls", "counts", "keys"])
 
-    profile = materialize(docs.mapInArrow(profiles, f"id {ids}, n bigint, cls bigint, counts binary, keys array<bigint>"), "profile")
-    known = profile.where("cls IS NOT NULL AND id IS NOT NULL")
-    lite = known.groupBy("cls").agg(F.min(F.struct("id", "n", "counts")).alias("first"))
-    lite = materialize(lite.select("cls", F.col("first.id").alias("rep"), "first.n", "first.counts"), "classes")
-    docs = docs.where("id IS NOT NULL")
-    exploded = known.select(F.explode("keys").alias("key"), "cls")
-    cells = materialize(exploded.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi"), "cells")
-    release_shuffles(spark)
-    members = materialize(exploded.join(cells, "key").select("key", "cls", "lo", "hi").distinct(), "members")
-    release_shuffles(spark)
-    pair = lambda p: members.where(t.near(F.col("cls"), F.col(p))).select(F.least("cls", p).alias("a"), F.greatest("cls", p).alias("b"))
-    pivots = materialize(plausible(pair("lo").unionByName(pair("hi")).where("a <> b").distinct(), lite, t), "pivots")
-    release_shuffles(spark)
-    members = members.select("key", "cls")
-    links = verify(pivots.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), lite, docs, size, t)
-    comps = connected_components(links)
-    links = links.unionByName(verify(apart(pivots, comps), lite, docs, size, t))
-    for nearest in (NEAREST, None):
-        comps = materialize(connected_components(links), "components")
-        links = links.unionByName(verify(residual_pairs(members, comps, lite, t, nearest), lite, docs, size, t))
-    comps = connected_components(links).withColumnRenamed("node", "cls")
-    grouped = lite.join(comps, "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
-    grouped = materialize(grouped, "grouped")
-    least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = grouped.join(least, "component").select("cls", F.col("rep").alias("class_id"), "component_id")
-    some = known.select("id", "n", "cls").join(named, "cls").select("id", "n", "class_id", "component_id")
-    none = profile.where("cls IS NULL OR id IS NULL").select("id", "n", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
+    with scratch(spark):
+        profile = materialize(docs.mapInArrow(profiles, f"id {ids}, n bigint, cls bigint, counts binary, keys array<bigint>"), "profile")
+        known = profile.where("cls IS NOT NULL AND id IS NOT NULL")
+        lite = known.groupBy("cls").agg(F.min(F.struct("id", "n", "counts")).alias("first"))
+        lite = materialize(lite.select("cls", F.col("first.id").alias("rep"), "first.n", "first.counts"), "classes")
+        docs = docs.where("id IS NOT NULL")
+        exploded = known.select(F.explode("keys").alias("key"), "cls")
+        cells = materialize(exploded.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi"), "cells")
+        release_shuffles(spark)
+        members = materialize(exploded.join(cells, "key").select("key", "cls", "lo", "hi").distinct(), "members")
+        release_shuffles(spark)
+        pair = lambda p: members.where(t.near(F.col("cls"), F.col(p))).select(F.least("cls", p).alias("a"), F.greatest("cls", p).alias("b"))
+        pivots = materialize(plausible(pair("lo").unionByName(pair("hi")).where("a <> b").distinct(), lite, t), "pivots")
+        release_shuffles(spark)
+        members = members.select("key", "cls")
+        links = verify(pivots.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), lite, docs, size, t)
+        comps = connected_components(links)
+        links = links.unionByName(verify(apart(pivots, comps), lite, docs, size, t))
+        for nearest in (NEAREST, None):
+            comps = materialize(connected_components(links), "components")
+            links = links.unionByName(verify(residual_pairs(members, comps, lite, t, nearest), lite, docs, size, t))
+        comps = connected_components(links).withColumnRenamed("node", "cls")
+        grouped = lite.join(comps, "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
+        grouped = materialize(grouped, "grouped")
+        least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
+        named = retain(materialize(grouped.join(least, "component").select("cls", F.col("rep").alias("class_id"), "component_id"), "named"))
+        narrow = retain(materialize(profile.select("id", "n", "cls"), "narrow"))
+    some = narrow.where("cls IS NOT NULL AND id IS NOT NULL").join(named, "cls").select("id", "n", "class_id", "component_id")
+    none = narrow.where("cls IS NULL OR id IS NULL").select("id", "n", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
     return some.unionByName(none).withColumnRenamed("n", "n_shingles").withColumnRenamed("id", id_col)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumgrid.llm import oracles
 from vellumgrid.llm.common import read_table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -34,7 +35,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellumgrid.llm.quality import quality_rules
 
     return quality_rules(read_table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
@@ -82,9 +83,6 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_url_filter, op4_quality_rules, op5_language_id, op6_topk_search, op7_source_mix, op8_suffix_dedup, op9_token_counts, op10_bpe_codec)}
 
-WS = r"[\x20\x09-\x0D]+"
-_N_WORDS = rf"CASE WHEN trim(coalesce(text, ''), chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) = '' THEN 0 ELSE len(regexp_split_to_array(trim(text, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), '{WS}')) END"
-
 ORACLE_SQL = {
     "op3_url_filter": r"""
 WITH p AS (
@@ -95,4 +93,8 @@ m AS (
   SELECT p.*, (SELECT max({'n': length(h) + length(t), 'hn': length(h), 'k': h || t, 'v': v}) FROM r
                WHERE (p.host = h OR ends_with(p.host, '.' || h)) AND starts_with(p.path, t)) AS best FROM p)
 SELECT page_id, host, path, best.k AS rule, coalesce(best.v, 'allow') AS verdict FROM m""",
+    "op2_ngram_join": oracles.ngram_join(3, 90, 100),
+    "op4_quality_rules": oracles.quality_rules(),
+    "op6_topk_search": oracles.top_k(5, 256),
+    "op8_suffix_dedup": oracles.suffix_dedup(100),
 }
