@@ -20,7 +20,7 @@ def duck(directory):
     import duckdb
 
     con = duckdb.connect()
-    for name in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for name in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         path = f"{directory}/{name}.parquet"
         con.execute(f"create view {name} as select * from '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     return con
@@ -50,7 +50,7 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
     from vellumgrid.session import session
 
-    spark = session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false"})
+    spark = session(os.environ.get("COMPARE_MASTER", "local[8]"), **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("OFF")
     con, queries, bad = duck(sys.argv[1]), entry.queries(), 0
     for name, sql in entry.oracle_sql().items():
