@@ -24,12 +24,12 @@ def test_tables_go_when_a_block_fails(spark):
     assert not os.path.exists(lost._own_path.removeprefix("file://"))
 
 
-def test_shared_folder_is_the_sessions(spark):
-    spark.conf.set("spark.checkpoint.dir", "file:///tmp/vellumgrid-test-shared/")
-    try:
-        assert shared_dir(spark) == "file:///tmp/vellumgrid-test-shared"
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_shared_folder_is_the_sessions():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: "hdfs://shared/dir/" if key == "spark.checkpoint.dir" else default)
+
+    assert shared_dir(Session) == "hdfs://shared/dir"
 
 
 def test_words(spark):
