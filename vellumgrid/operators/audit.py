@@ -100,23 +100,23 @@ def double_punctuation(d: Dialect) -> Statement:
     """Two or more signs in a row, but for an ellipsis, ?! and !?, an anonymised initial and dots of numbers."""
     cond = lambda at: f"({d.like(at(0), '^[.,;:!?]{2,}$')} AND {at(0)} NOT IN ('...', '?!', '!?') AND NOT ({at(0)} = '..' AND {d.like(at(-1), r'(^|[^\p{L}\p{N}])\p{Lu}$')}) AND NOT ({d.like(at(-1), '[0-9]$')} AND {d.like(at(1), '^[0-9]')}))"
     uniform = lambda at: f"CASE WHEN replace({at(0)}, substring({at(0)}, 1, 1), '') = '' THEN substring({at(0)}, 1, 1) END"
-    return in_block("r05_double_punctuation", d, "[.,;:!?]+|[^.,;:!?]+", cond, replacement=uniform)
+    return in_block("r05_double_punctuation", d, "[.,;:!?]+|[^.,;:!?]+", cond, replacement=uniform, where=d.like("text", "[.,;:!?]{2}"))
 
 
 def space_before_punctuation(d: Dialect) -> Statement:
     cond = lambda at: f"({d.like(at(0), '^ +$')} AND {d.like(at(1), '^[.,;:!?]')} AND {d.like(at(-1), f.WORD + '$')})"
-    return in_block("r06_space_before_punctuation", d, " +|[^ ]+", cond, replacement="''")
+    return in_block("r06_space_before_punctuation", d, " +|[^ ]+", cond, replacement="''", where=d.like("text", " [.,;:!?]"))
 
 
 def missing_space_after(d: Dialect) -> Statement:
     """A comma, semicolon, colon, ! or ? between a word and a letter."""
     cond = lambda at: f"({d.like(at(0), '^[,;:!?]$')} AND {at(-1)} IS NOT NULL AND {d.like(at(1), r'^\p{L}')})"
-    return in_block("r07_missing_space_after", d, f.PIECES, cond, replacement=lambda at: f"concat({at(0)}, ' ')")
+    return in_block("r07_missing_space_after", d, f.PIECES, cond, replacement=lambda at: f"concat({at(0)}, ' ')", where=d.like("text", r"[,;:!?]\p{L}"))
 
 
 def multiple_spaces(d: Dialect) -> Statement:
     cond = lambda at: f"({d.like(at(0), '^ {2,}$')} AND {at(-1)} IS NOT NULL AND {at(1)} IS NOT NULL AND NOT {d.like(at(-1), '\t$')} AND NOT {d.like(at(1), '^\t')})"
-    return in_block("r08_multiple_spaces", d, " +|[^ ]+", cond, replacement="' '")
+    return in_block("r08_multiple_spaces", d, " +|[^ ]+", cond, replacement="' '", where=d.like("text", " {2}"))
 
 
 def apostrophe_spacing(d: Dialect) -> Statement:
@@ -124,12 +124,12 @@ def apostrophe_spacing(d: Dialect) -> Statement:
     suffix = lambda e: d.like(e, r"^\p{Ll}{1,4}$")
     word = lambda e: d.like(e, r"^[\p{L}\p{N}]")
     cond = lambda at: f"({d.like(at(0), '^ +$')} AND (({at(-1)} IN ('''', '’') AND {word(at(-2))} AND {suffix(at(1))}) OR ({at(1)} IN ('''', '’') AND {word(at(-1))} AND {suffix(at(2))})))"
-    return in_block("r09_apostrophe_spacing", d, r"['’]|[\p{L}\p{N}]+| +|[^\p{L}\p{N} '’]+", lambda at: cond(at).replace("''''", d.lit("'")), replacement="''")
+    return in_block("r09_apostrophe_spacing", d, r"['’]|[\p{L}\p{N}]+| +|[^\p{L}\p{N} '’]+", lambda at: cond(at).replace("''''", d.lit("'")), replacement="''", where=d.like("text", "['’] | ['’]"))
 
 
 def bracket_padding(d: Dialect) -> Statement:
     cond = lambda at: f"({d.like(at(0), '^ +$')} AND ({at(-1)} IN ('(', '[') OR {at(1)} IN (')', ']')))"
-    return in_block("r10_bracket_padding", d, r"[()\[\]]| +|[^()\[\] ]+", cond, replacement="''")
+    return in_block("r10_bracket_padding", d, r"[()\[\]]| +|[^()\[\] ]+", cond, replacement="''", where=d.like("text", r"[(\[] | [)\]]"))
 
 
 def unclosed_brackets(d: Dialect) -> Statement:
@@ -160,11 +160,11 @@ SPACE_LIKE = r"[\x{00A0}\x{2007}\x{202F}\x{2009}\x{2002}\x{2003}]"
 
 def invisible_characters(d: Dialect) -> Statement:
     cond = lambda at: d.like(at(0), f"^[{INVISIBLE}]")
-    return in_block("r13_invisible_characters", d, f"[{INVISIBLE}]|[^{INVISIBLE}]+", cond, replacement=lambda at: f"CASE WHEN {d.like(at(0), SPACE_LIKE)} THEN ' ' ELSE '' END")
+    return in_block("r13_invisible_characters", d, f"[{INVISIBLE}]|[^{INVISIBLE}]+", cond, replacement=lambda at: f"CASE WHEN {d.like(at(0), SPACE_LIKE)} THEN ' ' ELSE '' END", where=d.like("text", f"[{INVISIBLE}]"))
 
 
 def replacement_characters(d: Dialect) -> Statement:
-    return in_block("r14_replacement_characters", d, r"\x{FFFD}|[^\x{FFFD}]+", lambda at: d.like(at(0), r"^\x{FFFD}"))
+    return in_block("r14_replacement_characters", d, r"\x{FFFD}|[^\x{FFFD}]+", lambda at: d.like(at(0), r"^\x{FFFD}"), where=d.like("text", r"\x{FFFD}"))
 
 
 def mixed_dashes(d: Dialect) -> Statement:
@@ -178,7 +178,7 @@ def mixed_dashes(d: Dialect) -> Statement:
 
 def tabs_in_text(d: Dialect) -> Statement:
     cond = lambda at: f"({d.like(at(0), '^\t')} AND {d.like(at(-1), '[^ ]')} AND {at(1)} IS NOT NULL)"
-    return in_block("r16_tabs_in_text", d, "\t+|[^\t]+", cond, replacement="' '")
+    return in_block("r16_tabs_in_text", d, "\t+|[^\t]+", cond, replacement="' '", where=d.like("text", "\t"))
 
 
 def placeholders(d: Dialect) -> Statement:
