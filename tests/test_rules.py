@@ -77,3 +77,19 @@ def test_sequences_equal_a_walk(spark):
             want.add((m.doc_id, m.block_index, before, m.value))
     got = {(r.doc_id, r.block_index, r.before, r.value) for r in run(spark, sequences(ENGINE), blocks=source).collect()}
     assert got == want and got
+
+
+def test_corrected_text_audits_clean(spark):
+    """Fixes leave nothing for their own rules, and text without fixes as it was."""
+    from vellumgrid.operators.audit import all_findings
+    from vellumgrid.operators.corrections import RULES, STATEMENTS
+    from vellumgrid.plans.dialect import Statement
+
+    source = blocks(spark, fixtures.BLOCKS)
+    fixed = run(spark, STATEMENTS["k02_corrected_copy"](ENGINE), blocks=source)
+    texts = {(r.doc_id, r.block_index): r.text for r in fixed.collect()}
+    assert len(texts) == len(fixtures.BLOCKS) and texts[-10, 0] == fixtures.BLOCKS[[x[:2] for x in fixtures.BLOCKS].index((-10, 0))][2]
+    assert texts[-2, 3] == "İki boşluk fazla var. " and texts[-2, 5] == "Parantez (içi boşluk) ve [köşeli] ile (düzgün) metin."
+    again = blocks(spark, [(d, b, t) for (d, b), t in texts.items()])
+    left = run(spark, Statement("SELECT * FROM findings WHERE replacement IS NOT NULL", all_findings(ENGINE, RULES)), blocks=again)
+    assert left.isEmpty()

@@ -126,6 +126,19 @@ def s04_style_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.sample_packages(spark).mapInPandas(run, "path string, style string, font string, size string")
 
 
+def s05_udf_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return s03_packages(spark, sf_dir).where("path LIKE '%.udf'").select("path", "block_index", "style", "text")
+
+
+def s07_utf16_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each block with characters beyond 16 bits or accents: its length in code points and in UTF-16 units."""
+    return per_block(corpus_blocks(spark, sf_dir).where(F.length("text") != F.octet_length("text")), lambda t: [(len(t), len(t.encode("utf-16-le", "surrogatepass")) // 2)], "code_points bigint, units bigint")
+
+
+def s08_package_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return s03_packages(spark, sf_dir).where("error IS NOT NULL").select("path", "error")
+
+
 def s18_html_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.read_html(load(spark, sf_dir, "pages"))
 

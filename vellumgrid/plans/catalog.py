@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumgrid.operators import audit, containment, relational, sequential, structure
+from vellumgrid.operators import audit, containment, corrections, relational, sequential, structure
 from vellumgrid.operators.scalars import SCALARS
 from vellumgrid.plans.dialect import ENGINE, ORACLE, Dialect, Statement, run
 from vellumgrid.sources.tables import corpus_blocks, corpus_blocks_sql, load
@@ -34,7 +34,7 @@ def oracle(template: Template) -> str:
 
 
 def templates() -> dict[str, Template]:
-    return {**SCALARS, **audit.STATEMENTS, **audit.GATE, **structure.STATEMENTS, **relational.STATEMENTS, **containment.STATEMENTS}
+    return {**SCALARS, **audit.STATEMENTS, **audit.GATE, **structure.STATEMENTS, **relational.STATEMENTS, **containment.STATEMENTS, **corrections.STATEMENTS}
 
 
 def queries() -> dict[str, Query]:
