@@ -28,12 +28,12 @@ from vellumgrid.llm.bytehash import BLANK, buffer_of, prefix_sums, span_hashes
 
 WINDOW, CUT_BITS, CACHE_BYTES = 16, 8, 24 << 20
 #: Bytes of text that are hashed at once, unless one text is longer.
-BLOCK = 1 << 20
+BLOCK = 2 << 20
 #: Texts whose results are held at once.
-ROWS = 500
+ROWS = 1000
 #: Words remembered by a worker, and the length of the longest of these. The first ones stay, as these are the common ones;
 #: a full cache starts anew after it has missed four times its size.
-WORDS, WORD_BYTES = 200_000, 48
+WORDS, WORD_BYTES = 250_000, 48
 #: Pre-tokenizer pattern of the vocabulary; blanks are dropped.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: What needs the library: a character from U+0240 on, U+0130 (two characters in lower case).
@@ -109,18 +109,18 @@ class Codec:
             known.clear()
             self.missed = 0
         new = list({w for ws in found if ws for w in ws if w not in known})
-        now = dict(zip(new, self.library(new), strict=True))
-        if len(known) < WORDS:
-            known.update((w, v) for w, v in now.items() if len(w) <= WORD_BYTES)
-        else:
-            self.missed += len(new)
+        known.update(zip(new, self.library(new), strict=True))
         out = []
         for ws in found:
-            if ws is None:
-                out.append(next(whole))
+            if ws:
+                sizes, ids, decoded = zip(*map(known.__getitem__, ws), strict=True)
+                out.append((sum(sizes), b"".join(ids), b" ".join(decoded)))
             else:
-                parts = [known[w] if w in known else now[w] for w in ws]
-                out.append((sum([p[0] for p in parts]), b"".join([p[1] for p in parts]), b" ".join([p[2] for p in parts])))
+                out.append((0, b"", b"") if ws is not None else next(whole))
+        for w in new:  # what is too long, or more than the cache holds, goes again
+            if len(w) > WORD_BYTES or len(known) > WORDS:
+                del known[w]
+                self.missed += 1
         return out
 
     def keep(self, piece: bytes, made: Piece) -> None:
