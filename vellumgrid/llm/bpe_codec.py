@@ -28,12 +28,12 @@ from vellumgrid.llm.bytehash import BLANK, buffer_of, prefix_sums, span_hashes
 
 WINDOW, CUT_BITS, CACHE_BYTES = 16, 8, 24 << 20
 #: Bytes of text that are hashed at once, unless one text is longer.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Texts whose results are held at once.
-ROWS = 1000
+ROWS = 500
 #: Words remembered by a worker, and the length of the longest of these. The first ones stay, as these are the common ones;
 #: a full cache starts anew after it has missed four times its size.
-WORDS, WORD_BYTES = 250_000, 48
+WORDS, WORD_BYTES = 200_000, 48
 #: Pre-tokenizer pattern of the vocabulary; blanks are dropped.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: What needs the library: a character from U+0240 on, U+0130 (two characters in lower case).
