@@ -39,6 +39,20 @@ def test_relocated_block_is_one_row():
     assert len(rows) == 3 and {r["kind"] for r in rows} <= {"equal", "moved"}
 
 
+def test_long_documents_are_compared_whole(spark, tmp_path):
+    texts = {1: "\n".join(f"Madde {i} bu sözleşmenin {i * 7} sayılı hükmüdür." for i in range(95)), 2: "\n".join(["aynı satır", "öbür satır"] * 60)}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sequential.d20_compare_versions(spark, str(tmp_path)).where("pair_id >= 1000").collect()
+    for i, t in texts.items():
+        n = t.count("\n") + 1
+        assert sorted(r.base_place for r in rows if r.pair_id == 1000 + i and r.base_place is not None) == list(range(n))
+        assert sorted(r.revised_place for r in rows if r.pair_id == 1000 + i and r.revised_place is not None) == list(range(n - n // 7))
+
+
+def test_common_run_is_counted_up_to_its_limit():
+    assert v.common_run("a b c d".split(), "x b c y".split()) == 2 and v.common_run(list("abcdefgh"), list("abcdefgh")) == v.RUN and v.common_run(["a"], ["b"]) == 0
+
+
 def test_number_words_both_ways():
     rng = random.Random(1)
     for _ in range(500):

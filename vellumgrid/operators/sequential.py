@@ -72,9 +72,9 @@ def m07_typed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Fixture pairs, and each document of up to 40 blocks against itself without every seventh block and with a word changed in every fifth."""
+    """Fixture pairs, and each document, of any number of blocks, against itself without every seventh block and with a word changed in every fifth."""
     fixture = spark.sql(ENGINE.values("x", "pair_id BIGINT, side string, place BIGINT, text string", PAIRS)[1])
-    blocks = corpus_blocks(spark, sf_dir).where("doc_id >= 0 AND block_index < 40").select((F.col("doc_id") + 1000).alias("pair_id"), F.col("block_index").alias("place"), "text")
+    blocks = corpus_blocks(spark, sf_dir).where("doc_id >= 0").select((F.col("doc_id") + 1000).alias("pair_id"), F.col("block_index").alias("place"), "text")
     changed = blocks.where(F.col("place") % 7 != 6).withColumn("text", F.when(F.col("place") % 5 == 2, F.regexp_replace("text", r"^(\S+) (\S+)", "$1 changed")).otherwise(F.col("text")))
     side = lambda s: fixture.where(F.col("side") == s).select("pair_id", "place", "text")
     return side("base").unionByName(blocks), side("revised").unionByName(changed)

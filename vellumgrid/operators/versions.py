@@ -7,6 +7,7 @@ lies between, relocation of equal blocks that were left over, then word diffs.""
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -30,17 +31,17 @@ def tokens(text: str) -> list[str]:
 
 def form(text: str) -> str:
     """Case and blanks set aside."""
-    return " ".join(text.translate(LOWER).lower().split())
+    return " ".join(text.replace("I", "ı").replace("İ", "i").lower().split())
 
 
-def longest_common_run(a: Sequence[str], b: Sequence[str]) -> int:
-    best, row = 0, [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else 0
-            best = max(best, row[j])
-    return best
+#: A common run counts up to this length.
+RUN = 6
+
+
+def common_run(a: Sequence[str], b: Sequence[str], most: int = RUN) -> int:
+    """Length of the longest common run of tokens, `most` for longer ones; linear in the tokens."""
+    runs = lambda ts, k: set(zip(*(ts[i:] for i in range(k)), strict=False))
+    return next((k for k in range(most, 0, -1) if not runs(a, k).isdisjoint(runs(b, k))), 0)
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,7 @@ class Signals:
 
     @property
     def score(self) -> float:
-        return 0.45 * self.jaccard + 0.35 * self.coverage + 0.1 * self.length + 0.1 * min(1.0, self.run / 6)
+        return 0.45 * self.jaccard + 0.35 * self.coverage + 0.1 * self.length + 0.1 * min(1.0, self.run / RUN)
 
 
 def signals(a: str, b: str) -> Signals:
@@ -61,7 +62,7 @@ def signals(a: str, b: str) -> Signals:
         return Signals(float(not x and not y), float(not x and not y), float(not x and not y), 0)
     cx, cy = Counter(x), Counter(y)
     shared = sum((cx & cy).values())
-    return Signals(len(cx.keys() & cy.keys()) / len(cx.keys() | cy.keys()), shared / min(len(x), len(y)), min(len(x), len(y)) / max(len(x), len(y)), longest_common_run(x, y))
+    return Signals(len(cx.keys() & cy.keys()) / len(cx.keys() | cy.keys()), shared / min(len(x), len(y)), min(len(x), len(y)) / max(len(x), len(y)), common_run(x, y))
 
 
 def similarity(a: str, b: str) -> float:
@@ -69,8 +70,14 @@ def similarity(a: str, b: str) -> float:
 
 
 def align(base: Sequence[str], revised: Sequence[str]) -> list[tuple[int | None, int | None]]:
-    """Pairs of places in order, None for a block without partner: the global alignment of greatest score."""
+    """Pairs of places in order, None for a block without partner: the global alignment of greatest score.
+
+    Similarities are taken once for each pair of different texts: long parts without anchors are mostly repeated lines."""
     n, m = len(base), len(revised)
+    rows, columns = ({t: k for k, t in enumerate(dict.fromkeys(ts))} for ts in (base, revised))
+    alike = np.array([[similarity(a, b) for b in columns] for a in rows], np.float32).reshape(len(rows), len(columns))
+    pair = SLOPE * alike
+    row, column = [rows[t] for t in base], [columns[t] for t in revised]
     scores = np.zeros((n + 1, m + 1), np.float32)
     scores[1:, 0] = GAP * np.arange(1, n + 1, dtype=np.float32)
     scores[0, 1:] = GAP * np.arange(1, m + 1, dtype=np.float32)
@@ -78,7 +85,7 @@ def align(base: Sequence[str], revised: Sequence[str]) -> list[tuple[int | None,
     move[1:, 0], move[0, 1:] = 1, 2
     for i in range(1, n + 1):
         for j in range(1, m + 1):
-            options = (scores[i - 1, j - 1] + SLOPE * np.float32(similarity(base[i - 1], revised[j - 1])) + OFFSET, scores[i - 1, j] + GAP, scores[i, j - 1] + GAP)
+            options = (scores[i - 1, j - 1] + pair[row[i - 1], column[j - 1]] + OFFSET, scores[i - 1, j] + GAP, scores[i, j - 1] + GAP)
             move[i, j] = int(np.argmax(options))
             scores[i, j] = options[move[i, j]]
     out, i, j = [], n, m
@@ -97,12 +104,18 @@ def align(base: Sequence[str], revised: Sequence[str]) -> list[tuple[int | None,
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """A longest run of pairs that rises in both places; pairs come in the order of the first."""
-    best: list[list[tuple[int, int]]] = []
-    for p in pairs:
-        k = next((k for k, run in enumerate(best) if run[-1][1] >= p[1]), len(best))
-        run = (best[k - 1] if k else []) + [p]
-        best[k : k + 1] = [run]
-    return best[-1] if best else []
+    ends: list[int] = []  # of the run of each length, its least end and that end's pair
+    last: list[int] = []
+    before: list[int | None] = []
+    for n, (_, q) in enumerate(pairs):
+        k = bisect_left(ends, q)
+        before.append(last[k - 1] if k else None)
+        ends[k : k + 1], last[k : k + 1] = [q], [n]
+    out, at = [], last[-1] if last else None
+    while at is not None:
+        out.append(pairs[at])
+        at = before[at]
+    return out[::-1]
 
 
 def align_with_anchors(base: Sequence[str], revised: Sequence[str]) -> list[tuple[int | None, int | None]]:
@@ -126,8 +139,8 @@ def align_with_anchors(base: Sequence[str], revised: Sequence[str]) -> list[tupl
 def relocated(pairs: list[tuple[int | None, int | None]], x: list[str], y: list[str]) -> list[tuple[int | None, int | None]]:
     """Blocks without partner that are equal and the only such ones become pairs, at the revised place."""
     lost, new = [p for p, q in pairs if q is None], [q for p, q in pairs if p is None]
-    at = {q: [p for p in lost if x[p] == y[q]] for q in new}
-    joined = {q: ps[0] for q, ps in at.items() if len(ps) == 1 and sum(y[o] == y[q] for o in new) == 1}
+    stay, come, where = Counter(x[p] for p in lost), Counter(y[q] for q in new), {x[p]: p for p in lost}
+    joined = {q: where[y[q]] for q in new if stay[y[q]] == 1 and come[y[q]] == 1}
     taken = set(joined.values())
     return [(joined.get(q), q) if p is None else (p, q) for p, q in pairs if not (q is None and p in taken)]
 
