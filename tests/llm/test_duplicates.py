@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -109,3 +110,14 @@ def test_repeats_of_odd_tables(spark):
     got = sorted((r.doc_id or 0, r.n_removed) for r in remove_repeats(docs).collect())
     inner = repeats({1: long}, 100)[1][1]
     assert got == sorted([(0, 0), (1, inner), (1, inner), (2, len(long)), (3, 0), (3, 0)])
+
+
+def test_repeats_beyond_16_mib_of_a_text(spark):
+    rng = random.Random(9)
+    passage, filler = rng.randbytes(200).hex(), rng.randbytes(9_000_000).hex()
+    kept = f"{filler[:9_000_000]}|{passage}|{filler[9_000_000:17_000_000]}<>{filler[17_000_000:]}"
+    long = kept.replace("<>", f"<{passage}>")
+    assert long.rindex(passage) > 1 << 24
+    rows = {r.doc_id: r for r in remove_repeats(documents(spark, [(1, long), (2, f"({passage})")]), kept=True).collect()}
+    assert (rows[1].n_removed, rows[1].n_spans, rows[2].n_removed, rows[2].n_spans) == (400, 1, 400, 1)
+    assert rows[1].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest() and rows[1].kept == kept and rows[2].kept == "()"

@@ -31,8 +31,12 @@ from vellumgrid.llm.suffix_sort import common_prefixes, sort_suffixes, words8
 ANCHOR, HOT, SHARD = 24, 4096, 12_000
 #: Bytes of text hashed at once, unless one text is longer.
 BLOCK = 1 << 20
-#: A place holds the first window's start, the further windows and the anchor's offset, of PART bits each.
-PART = 20
+
+
+def part_bits(length: int) -> int:
+    """A place holds the first window's start, then the further windows and the anchor's offset in so many bits each: a run
+    has under `length` windows, and its anchor lies in the first. Starts have the other bits (48 at 100 bytes)."""
+    return length.bit_length()
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -123,6 +127,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     earlier. Rows with a null id, or with an id that rows of other texts share, have no place in the order: they stay whole
     and repeat nothing. An empty table gives an empty result."""
     spark = docs.sparkSession
+    part = part_bits(length)
     keep = [c for c in keep if c != id_col]
     whole = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("row"))
     docs = whole.select("id", "text")
@@ -142,7 +147,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                         columns = [pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64))]
                         if full:
                             doc = np.searchsorted(offsets, lo, "right") - 1
-                            place = (((lo - offsets[doc]) << PART | (hi - lo)) << PART) | (at - lo)
+                            place = (((lo - offsets[doc]) << part | (hi - lo)) << part) | (at - lo)
                             columns += [pa.array(ids[begin:end][doc]), pa.array(place)]
                         yield pa.record_batch(columns, ["anchor", "context", "id", "place"][: len(columns)])
 
@@ -154,7 +159,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         found = materialize(rows(True).join(again, "anchor"), "found")
         release_shuffles(spark)
         classes = materialize(found.groupBy("anchor", "context", "several").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("m")), "classes")
-        start, windows = F.shiftright("place", 2 * PART), F.shiftright("place", PART).bitwiseAND(F.lit((1 << PART) - 1))
+        start, windows = F.shiftright("place", 2 * part), F.shiftright("place", part).bitwiseAND(F.lit((1 << part) - 1))
         copies = found.join(classes.where("m > 1").select("anchor", "context", "first"), ["anchor", "context"]).where((F.col("id") != F.col("first.id")) | (F.col("place") != F.col("first.place")))
         spans = materialize(copies.select("id", start.alias("begin"), (start + windows + length).alias("end")), "copies")
         release_shuffles(spark)
@@ -165,13 +170,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         per_doc = firsts.groupBy("id").agg(F.collect_list(F.struct("anchor", "place", "contexts")).alias("runs"))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mask = (1 << PART) - 1
+            mask = (1 << part) - 1
             for batch in batches:
                 out: list[list] = [[], [], [], [], [], []]
                 for i, t, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     raw = t.encode("utf-8")
                     for r in runs:
-                        lo, n = r["place"] >> 2 * PART, (r["place"] >> PART & mask) + 1
+                        lo, n = r["place"] >> 2 * part, (r["place"] >> part & mask) + 1
                         for x, v in zip(out, (r["anchor"], i, lo, n, r["contexts"], raw[lo : lo + n - 1 + length]), strict=True):
                             x.append(v)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
