@@ -54,6 +54,17 @@ def test_divergence_rejects_what_is_unlike_its_language(spark):
     assert not rows[99].base_failed and not rows[99].kept and all(rows[i].kept for i in range(40))
 
 
+def test_every_language_is_held_against_its_own_reference(spark):
+    rng = random.Random(7)
+    text = lambda stems: " ".join(rng.choice(stems) + rng.choice(stems) for _ in range(80))
+    rows = [(100 * k + i, text([f"{chr(97 + k % 26)}{x}" for x in "aeiou"]), f"l{k:02}") for k in range(34) for i in range(21)]
+    rows += [(90_000 + i, text(["नम", "कर", "यह", "वह", "हम"]), "hi") for i in range(20)] + [(91_000 + i, text(["ไทย", "ภาษ", "คำก", "ดีม"]), "th") for i in range(19)]
+    odd = " ".join(f"{rng.randrange(10**6)}%%%" for _ in range(150))
+    got = {r.doc_id: r for r in quality_rules(documents(spark, [*rows, (99_000, odd, "hi")])).collect()}
+    assert len(got) == len(rows) + 1 and all(got[i].kept for i, _, _ in rows)
+    assert got[90_000].char_distance < 0.3 and got[91_000].char_distance is None and not got[99_000].kept
+
+
 def test_js_distance(spark):
     r = spark.range(1).select(js_distance(F.array(F.lit(0.5), F.lit(0.5)), F.array(F.lit(0.5), F.lit(0.5))).alias("same"), js_distance(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))).alias("apart")).first()
     assert r.same == 0 and abs(r.apart - 1) < 1e-12

@@ -4,8 +4,9 @@ Every text gets two histograms: shares of its characters by class, and shares of
 languages (one more bin takes the rest). The same histograms summed over all texts of a language are the language's
 references. A text is rejected if it fails a base rule, or if the Jensen-Shannon distance of either histogram from the
 reference of its language is above a limit. Short texts have noisy histograms: a histogram with fewer than the guard's
-characters or words rejects nothing. A text without a language, or of one with fewer than LEAST_TEXTS texts, is held
-against every reference and judged by the nearest; without any reference only the base rules judge.
+characters or words rejects nothing. Every language with LEAST_TEXTS texts or more has references; texts of a language with
+fewer are judged by the base rules only. A text without a language is held against every reference and judged by the
+nearest; without any reference only the base rules judge.
 
 All of it is per-row expressions over one array of words: texts are never shuffled. Two passes read them, one to count
 the short words by language (aggregated before the shuffle), one to make the histograms.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from vellumgrid.llm.common import WS_CHARS, materialize, words
 
-#: Languages with references, those with most texts; common words taken from each, of this length at most.
+#: Languages in the comparison's SQL (here all have references); common words taken from each, of this length at most.
 LANGUAGES, COMMON, WORD_LENGTH, LEAST_TEXTS = 32, 12, 4, 20
 #: Character classes; what is in none of them is the last bin.
 CLASSES = (r"\p{Ll}+", r"\p{Lu}+", r"\p{Nd}+", r"[#*$%&|<>]+")
@@ -29,6 +30,11 @@ CHAR_BINS = len(CLASSES) + 2
 SLOT = 0x4E00
 
 
+def slot_char(i: int) -> str:
+    """The character of a slot; surrogates are left out."""
+    return chr(SLOT + i + (0x800 if SLOT + i >= 0xD800 else 0))
+
+
 @dataclass(frozen=True)
 class Limits:
     least_words: int = 50
@@ -74,24 +80,26 @@ def common_words(docs: DataFrame, text: str, lang: str) -> list[str]:
     counts = word.groupBy("lang", F.lower("w").alias("w")).count()
     top = Window.partitionBy("lang").orderBy(F.desc("count"), "w")
     best = counts.withColumn("r", F.row_number().over(top)).where(F.col("r") <= COMMON)
-    per_lang = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).count().where(F.col("count") >= LEAST_TEXTS).orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    per_lang = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).count().where(F.col("count") >= LEAST_TEXTS)
     return sorted({r["w"] for r in best.join(F.broadcast(per_lang.select("lang")), "lang").select("w").collect()})
 
 
 def histograms(df: DataFrame, common: list[str]) -> DataFrame:
-    """Adds _chars and _common: arrays of counts; needs what base_counts adds."""
+    """Adds _chars, an array of counts, and _common, the slots that occur with their counts (the last slot takes the rest): its
+    size follows the text, not the number of languages. Needs what base_counts adds."""
     classes = [F.length("_t") - F.length(F.regexp_replace("_t", c, "")) for c in CLASSES]
     df = df.withColumn("_c", F.array(*classes, F.length("_t") - F.col("word_chars").cast("int")))
     df = df.withColumn("_chars", F.concat("_c", F.array(F.length("_t") - F.aggregate("_c", F.lit(0), lambda a, x: a + x))))
+    hit = F.lit("")
     if common:
-        slots = F.create_map(*[x for i, w in enumerate(common) for x in (F.lit(w), F.lit(chr(SLOT + i)))])
+        slots = F.create_map(*[x for i, w in enumerate(common) for x in (F.lit(w), F.lit(slot_char(i)))])
         hit = F.array_join(F.transform("_w", lambda w: F.when(F.length(w) <= WORD_LENGTH, F.try_element_at(slots, F.lower(w)))), "")
-        df = df.withColumn("_hit", hit)
-        counts = [F.length("_hit") - F.length(F.replace("_hit", F.lit(chr(SLOT + i)), F.lit(""))) for i in range(len(common))]
-        df = df.withColumn("_common", F.array(*counts, F.col("n_words").cast("int") - F.length("_hit")))
-    else:
-        df = df.withColumn("_common", F.array(F.col("n_words").cast("int")))
-    return df.drop("_c", "_hit")
+    df = df.withColumn("_hit", hit)
+    df = df.withColumn("_seen", F.when(F.col("_hit") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split("_hit", ""))))
+    slot = lambda c: F.ascii(c) - SLOT - F.when(F.ascii(c) >= 0xD800, F.lit(0x800)).otherwise(F.lit(0))
+    counts = F.transform("_seen", lambda c: F.struct(slot(c).alias("slot"), (F.length("_hit") - F.length(F.replace("_hit", c, F.lit("")))).alias("n")))
+    rest = F.struct(F.lit(len(common)).alias("slot"), (F.col("n_words").cast("int") - F.length("_hit")).alias("n"))
+    return df.withColumn("_common", F.concat(counts, F.array(rest))).drop("_c", "_hit", "_seen")
 
 
 def shares(counts: Column) -> Column:
@@ -109,6 +117,28 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)))
 
 
+def sparse_js_distance(p: Column, q: Column) -> Column:
+    """js_distance of a histogram given as slots with their shares from the array of all shares of another one."""
+
+    def term(a: Column, b: Column) -> Column:
+        return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.lit(0.0))
+
+    at = lambda x: F.get(q, x["slot"])
+    both = F.aggregate(p, F.lit(0.0), lambda s, x: s + term(x["share"], at(x)) + term(at(x), x["share"]))
+    only = 1.0 - F.aggregate(p, F.lit(0.0), lambda s, x: s + at(x))  # a slot of the other alone counts once its share
+    return F.sqrt(F.greatest(F.lit(0.0), 0.5 * (both + only)))
+
+
+def references(counted: DataFrame, slots: int) -> DataFrame:
+    """lang, c and w (shares of the character classes and of the slots) of every language with LEAST_TEXTS texts or more."""
+    known = counted.where(F.col("_lang").isNotNull())
+    chars = known.groupBy(F.col("_lang").alias("lang")).agg(F.count("*").alias("texts"), F.array(*[F.sum(F.col("_chars")[i].cast("bigint")) for i in range(CHAR_BINS)]).alias("c")).where(F.col("texts") >= LEAST_TEXTS)
+    sums = known.select(F.col("_lang").alias("lang"), F.inline("_common")).groupBy("lang", "slot").agg(F.sum(F.col("n").cast("bigint")).alias("n"))
+    words_ = sums.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint")))
+    return chars.join(words_, "lang").select("lang", shares(F.col("c")).alias("c"), shares(dense).alias("w"))
+
+
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", limits: Limits = Limits(), keep: list[str] | None = None) -> DataFrame:
     """The columns of keep (all of docs by default) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance,
     word_distance and kept; columns of docs with these names are replaced.
@@ -120,22 +150,19 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", limit
     own = docs.select(F.struct(*keep).alias("_row"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
     common = common_words(docs, text, lang)
     counted = materialize(histograms(base_counts(own, "_text"), common).drop("_w", "_t", "_text"), "counted")
-    sums = lambda col, n: F.array(*[F.sum(F.col(col)[i].cast("bigint")) for i in range(n)])
-    known = counted.where(F.col("_lang").isNotNull()).groupBy("_lang").agg(F.count("*").alias("n"), sums("_chars", CHAR_BINS).alias("c"), sums("_common", len(common) + 1).alias("w"))
-    rows = known.where(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "_lang").limit(LANGUAGES).collect()
-
-    def distance(counts: str, col: str, guard: Column) -> Column:
-        if not rows:
-            return F.lit(None).cast("double")
-        refs = [[x / max(1, sum(r[col])) for x in r[col]] for r in rows]
-        tables = F.create_map(*[x for r, ref in zip(rows, refs, strict=True) for x in (F.lit(r["_lang"]), F.array(*map(F.lit, ref)))])
-        mine = F.try_element_at(tables, F.col("_lang"))
-        nearest = F.array_min(F.transform(F.array(*[F.array(*map(F.lit, ref)) for ref in refs]), lambda q: js_distance(F.col(counts), q)))
-        return F.when(guard, F.when(mine.isNotNull(), js_distance(F.col(counts), mine)).otherwise(nearest))
-
-    n_chars = F.aggregate("_chars", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    judged = counted.withColumn("n_chars_", n_chars).withColumns({"_p": shares(F.col("_chars")), "_q": shares(F.col("_common"))})
-    judged = judged.withColumn("char_distance", distance("_p", "c", F.col("n_chars_") >= limits.guard_chars)).withColumn("word_distance", distance("_q", "w", F.col("n_words") >= limits.guard_words))
+    refs = materialize(references(counted, len(common) + 1), "references", rows=1)
+    total = F.col("n_words").cast("double")
+    judged = counted.withColumn("_n", F.aggregate("_chars", F.lit(0).cast("bigint"), lambda a, x: a + x)).withColumn("_p", shares(F.col("_chars")))
+    judged = judged.withColumn("_q", F.transform("_common", lambda x: F.struct(x["slot"].alias("slot"), F.when(total > 0, x["n"] / total).otherwise(F.lit(0.0)).alias("share"))))
+    chars, enough = F.col("_n") >= limits.guard_chars, F.col("n_words") >= limits.guard_words
+    named = judged.where(F.col("_lang").isNotNull()).join(F.broadcast(refs), F.col("_lang") == F.col("lang"), "left")
+    named = named.withColumn("char_distance", F.when(chars & F.col("c").isNotNull(), js_distance(F.col("_p"), F.col("c"))))
+    named = named.withColumn("word_distance", F.when(enough & F.col("w").isNotNull(), sparse_js_distance(F.col("_q"), F.col("w")))).drop("lang", "c", "w")
+    every = refs.agg(F.collect_list(F.struct("c", "w")).alias("refs"))
+    free = judged.where(F.col("_lang").isNull()).crossJoin(F.broadcast(every))
+    free = free.withColumn("char_distance", F.when(chars, F.array_min(F.transform("refs", lambda r: js_distance(F.col("_p"), r["c"])))))
+    free = free.withColumn("word_distance", F.when(enough, F.array_min(F.transform("refs", lambda r: sparse_js_distance(F.col("_q"), r["w"]))))).drop("refs")
+    judged = named.unionByName(free)
     failed = (F.col("n_words") < limits.least_words) | (100 * F.col("n_repeat_words") > limits.most_repeat_percent * F.col("n_words"))
     far = F.coalesce(F.col("char_distance") > limits.char_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > limits.word_distance, F.lit(False))
     judged = judged.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
