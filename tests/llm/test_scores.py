@@ -65,6 +65,20 @@ def test_every_language_is_held_against_its_own_reference(spark):
     assert got[90_000].char_distance < 0.3 and got[91_000].char_distance is None and not got[99_000].kept
 
 
+def test_divergence_rejects_word_salad_and_other_languages(spark):
+    rng = random.Random(11)
+    common = {"aa": "the of and to in for that with".split(), "bb": "le de et la un est que pour".split()}
+    stems = {"aa": [f"{x}{y}" for x in "lorng stomp credl".split() for y in ("ing", "er", "able")], "bb": [f"{x}{y}" for x in "lontr estem crudl".split() for y in ("eux", "ique", "ant")]}
+    text = lambda n, share, k=120: " ".join(rng.choice(common[n]) if rng.random() < share else rng.choice(stems[n]) for _ in range(k))
+    rows = [(100 * j + i, text(n, 0.25), n) for j, n in enumerate(stems) for i in range(40)]
+    odd = [(1000 + i, text(n, 0.0), n) for i, n in enumerate(stems)] + [(2000, text("bb", 0.25), "aa"), (2001, text("aa", 0.25), "bb")]
+    free = [(3000, text("aa", 0.25), None), (3001, text("bb", 0.0), None), (3002, text("aa", 0.0, 60), "aa")]
+    got = {r.doc_id: r for r in quality_rules(documents(spark, rows + odd + free)).collect()}
+    assert all(got[i].kept for i, _, _ in rows) and not any(got[i].kept for i, _, _ in odd)
+    assert got[3000].kept and not got[3001].kept and got[3002].kept and got[3002].word_ratio is None
+    assert all(abs(got[1000 + i].word_ratio - 1) < 0.01 for i in range(2))
+
+
 def test_js_distance(spark):
     r = spark.range(1).select(js_distance(F.array(F.lit(0.5), F.lit(0.5)), F.array(F.lit(0.5), F.lit(0.5))).alias("same"), js_distance(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))).alias("apart")).first()
     assert r.same == 0 and abs(r.apart - 1) < 1e-12

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import ctypes
 import os
+import re
+import shutil
 import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,15 +25,24 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of a file where their number is known; they are narrow.
 ROWS_A_FILE = 250_000
 _own_dir: str | None = None
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+#: Spark drops a statement's shuffle files at its end while this is on.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own if all run
+    in one process (tests), else an error: executors would not see each other's files."""
     global _own_dir
     if conf := spark.conf.get("spark.checkpoint.dir", None):
         return conf.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="vellumgrid-")
+        atexit.register(shutil.rmtree, _own_dir, True)
     return f"file://{_own_dir}"
 
 
@@ -61,16 +74,28 @@ def retain(table: DataFrame) -> DataFrame:
     return table
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: later stages survive lost executors and don't repeat the
-    work. rows: at most so many are written, and so few files do; null: unknown.
+    work; the statement's shuffle files go. rows: at most so many are written, and so few files do; null: unknown.
 
-    The table lives as long as the scratch block around it, else as long as the shared folder."""
+    The table lives as long as the scratch block around it, else as long as the shared folder; all tables of an application
+    lie in one folder with its id."""
     spark = df.sparkSession
-    root = f"{shared_dir(spark)}/vellumgrid-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/vellumgrid-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
-    df.write.option("compression", "zstd").parquet(f"{root}/{tag}")
+    with setting(spark, CLEANUP, "true"):
+        df.write.option("compression", "zstd").parquet(f"{root}/{tag}")
     if stack := _scopes.__dict__.get("stack", []):
         stack[-1].append(root)
     table = spark.read.schema(df.schema).parquet(f"{root}/{tag}")
@@ -78,10 +103,11 @@ def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     return table
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files that no live plan refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def trim_memory() -> None:
+    """Gives a Python worker's freed memory back to the system, where its C library can: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

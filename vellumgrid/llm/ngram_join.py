@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumgrid.llm.bytehash import mix
-from vellumgrid.llm.common import materialize, release_shuffles, retain, scratch
+from vellumgrid.llm.common import materialize, retain, scratch
 from vellumgrid.llm.components import connected_components
 from vellumgrid.llm.shingles import shingle_sets
 
@@ -256,7 +256,6 @@ def verify(pairs: DataFrame, lite: DataFrame, docs: DataFrame, size: int, t: Thr
     side = lambda k: sets.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("s").alias(f"s{k}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     links = materialize(joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint"), "links")
-    release_shuffles(links.sparkSession)
     return links
 
 
@@ -277,7 +276,6 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: Threshold = Threshold(
     ids = docs.schema["id"].dataType.simpleString()
 
     common = common_shingles(docs, size)
-    release_shuffles(spark)
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
@@ -298,12 +296,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: Threshold = Threshold(
         docs = docs.where("id IS NOT NULL")
         exploded = known.select(F.explode("keys").alias("key"), "cls")
         cells = materialize(exploded.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi"), "cells")
-        release_shuffles(spark)
         members = materialize(exploded.join(cells, "key").select("key", "cls", "lo", "hi").distinct(), "members")
-        release_shuffles(spark)
         pair = lambda p: members.where(t.near(F.col("cls"), F.col(p))).select(F.least("cls", p).alias("a"), F.greatest("cls", p).alias("b"))
         pivots = materialize(plausible(pair("lo").unionByName(pair("hi")).where("a <> b").distinct(), lite, t), "pivots")
-        release_shuffles(spark)
         members = members.select("key", "cls")
         links = verify(pivots.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), lite, docs, size, t)
         comps = connected_components(links)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellumgrid.llm.quality import CLASSES, COMMON, LANGUAGES, LEAST_TEXTS, WORD_LENGTH, Limits
+from vellumgrid.llm.quality import CLASSES, COMMON, LEAST_TEXTS, WORD_LENGTH, Limits
 
 BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 SPLIT = r"'[\x20\x09-\x0D]+'"
@@ -57,7 +57,7 @@ def quality_rules(limits: Limits = Limits()) -> str:
     jsd = lambda p, q: f"sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}), lambda z: 0.5 * (CASE WHEN z[1] > 0 THEN z[1] * log2(2 * z[1] / (z[1] + z[2])) ELSE 0 END + CASE WHEN z[2] > 0 THEN z[2] * log2(2 * z[2] / (z[1] + z[2])) ELSE 0 END)))))"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t, {WORDS} AS ws FROM documents),
-langs AS (SELECT lang, count(*) AS n FROM d WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {LEAST_TEXTS} ORDER BY n DESC, lang LIMIT {LANGUAGES}),
+langs AS (SELECT lang, count(*) AS n FROM d WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {LEAST_TEXTS}),
 wd AS (SELECT rid, lang, unnest(ws) AS w FROM d),
 cw AS (SELECT lang, lower(w) AS w, count(*) AS n FROM wd WHERE length(w) <= {WORD_LENGTH} AND regexp_matches(w, '^\\p{{L}}+$') AND lang IS NOT NULL GROUP BY ALL),
 tops AS (SELECT DISTINCT w FROM (SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS r FROM cw) WHERE r <= {COMMON} AND lang IN (SELECT lang FROM langs)),
@@ -77,9 +77,9 @@ ref AS (SELECT lang, list(cn ORDER BY i) AS cr, any_value(wr) AS wr FROM (
           SELECT lang, i, sum(cc[i]) / sum(chars) AS cn FROM f, range(1, {len(CLASSES) + 3}) r(i) WHERE lang IN (SELECT lang FROM langs) GROUP BY lang, i) x
         JOIN (SELECT lang AS wl, list(wn ORDER BY i) AS wr FROM (SELECT lang, i, sum(wc[i]) / sum(n_words) AS wn FROM f, range(1, (SELECT count(*) FROM slots) + 2) r(i) WHERE lang IN (SELECT lang FROM langs) GROUP BY lang, i) GROUP BY lang) y ON x.lang = y.wl GROUP BY lang),
 pq AS (SELECT *, list_transform(cc, lambda x: CASE WHEN chars > 0 THEN x / chars ELSE 0 END) AS p, list_transform(wc, lambda x: CASE WHEN n_words > 0 THEN x / n_words ELSE 0 END) AS q FROM f),
-dist AS (SELECT pq.rid, min({jsd('p', 'cr')}) AS cd, min({jsd('q', 'wr')}) AS wdist FROM pq JOIN ref ON pq.lang = ref.lang OR pq.lang IS NULL OR pq.lang NOT IN (SELECT lang FROM langs) GROUP BY pq.rid)
+dist AS (SELECT pz.rid, min({jsd('p', 'cr')}) AS cd, min({jsd('q', 'wr')} / nullif({jsd('none', 'wr')}, 0)) AS ratio FROM (SELECT *, list_transform(q, lambda x, i: CASE WHEN i = len(q) THEN 1.0 ELSE 0.0 END) AS none FROM pq) pz JOIN ref ON pz.lang = ref.lang OR pz.lang IS NULL GROUP BY pz.rid)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
        (n_words < {limits.least_words} OR 100 * n_repeat_words > {limits.most_repeat_percent} * n_words) AS base_failed,
        NOT (n_words < {limits.least_words} OR 100 * n_repeat_words > {limits.most_repeat_percent} * n_words)
-         AND NOT coalesce(chars >= {limits.guard_chars} AND cd > {limits.char_distance}, false) AND NOT coalesce(n_words >= {limits.guard_words} AND wdist > {limits.word_distance}, false) AS kept
+         AND NOT coalesce(chars >= {limits.guard_chars} AND cd > {limits.char_distance}, false) AND NOT coalesce(n_words >= {limits.guard_words} AND ratio > {limits.word_ratio}, false) AS kept
 FROM pq LEFT JOIN dist USING (rid)"""

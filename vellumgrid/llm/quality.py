@@ -2,14 +2,17 @@
 
 Every text gets two histograms: shares of its characters by class, and shares of its words over the common words of all
 languages (one more bin takes the rest). The same histograms summed over all texts of a language are the language's
-references. A text is rejected if it fails a base rule, or if the Jensen-Shannon distance of either histogram from the
-reference of its language is above a limit. Short texts have noisy histograms: a histogram with fewer than the guard's
+references. A text is rejected if it fails a base rule, if the Jensen-Shannon distance of its character histogram from its
+language's is above a limit, or if that of its words is: the limit for words is a share of the distance that a text without
+any common word has from the reference (so word salad, and a text in another language, is above it, however large or small
+the share of common words in the language is). Short texts have noisy histograms: a histogram with fewer than the guard's
 characters or words rejects nothing. Every language with LEAST_TEXTS texts or more has references; texts of a language with
 fewer are judged by the base rules only. A text without a language is held against every reference and judged by the
 nearest; without any reference only the base rules judge.
 
-All of it is per-row expressions over one array of words: texts are never shuffled. Two passes read them, one to count
-the short words by language (aggregated before the shuffle), one to make the histograms.
+All of it is per-row expressions over one array of words: texts are never shuffled nor written to intermediate tables.
+Two passes read them for the references (short words by language, characters by language; both aggregated before the
+shuffle), one judges.
 """
 
 from __future__ import annotations
@@ -19,10 +22,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumgrid.llm.common import WS_CHARS, materialize, words
+from vellumgrid.llm.common import WS_CHARS, materialize, retain, scratch, words
 
-#: Languages in the comparison's SQL (here all have references); common words taken from each, of this length at most.
-LANGUAGES, COMMON, WORD_LENGTH, LEAST_TEXTS = 32, 12, 4, 20
+#: Common words taken from each language, of this length at most; texts that a language with references has, at least.
+COMMON, WORD_LENGTH, LEAST_TEXTS = 12, 4, 20
 #: Character classes; what is in none of them is the last bin.
 CLASSES = (r"\p{Ll}+", r"\p{Lu}+", r"\p{Nd}+", r"[#*$%&|<>]+")
 CHAR_BINS = len(CLASSES) + 2
@@ -40,9 +43,10 @@ class Limits:
     least_words: int = 50
     most_repeat_percent: int = 50
     char_distance: float = 0.30
-    word_distance: float = 0.60
+    #: Share of the distance that a text without common words has.
+    word_ratio: float = 0.80
     guard_chars: int = 200
-    guard_words: int = 50
+    guard_words: int = 75
 
 
 def repeat_words(n: str, h: str) -> list[dict[str, str]]:
@@ -59,12 +63,15 @@ def repeat_words(n: str, h: str) -> list[dict[str, str]]:
     ]
 
 
-def base_counts(df: DataFrame, text: str) -> DataFrame:
-    """Adds _w (the words), n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_w", words(F.col(text))).withColumn("_t", t)
+def split_words(df: DataFrame) -> DataFrame:
+    """Adds _t (the text, never null), _w (its words) and word_chars."""
+    df = df.withColumn("_w", words(F.col("_text"))).withColumn("_t", F.coalesce(F.col("_text"), F.lit("")))
+    return df.withColumn("word_chars", F.length(F.array_join("_w", "")).cast("bigint"))
+
+
+def base_counts(df: DataFrame) -> DataFrame:
+    """Adds n_words, n_symbols, n_dup_lines and n_repeat_words to what split_words adds."""
     df = df.withColumn("n_words", F.size("_w").cast("bigint"))
-    df = df.withColumn("word_chars", F.length(F.array_join("_w", "")).cast("bigint"))
     df = df.withColumn("n_symbols", (F.length("_t") - F.length(F.regexp_replace("_t", "[#*$%&|<>]+", ""))).cast("bigint"))
     df = df.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(WS_CHARS)) != ""))
     df = df.withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint"))
@@ -74,22 +81,53 @@ def base_counts(df: DataFrame, text: str) -> DataFrame:
     return df.drop("_h", "_s", "_p", "_l")
 
 
-def common_words(docs: DataFrame, text: str, lang: str) -> list[str]:
-    """The union over languages of their COMMON most frequent words of at most WORD_LENGTH letters, counted over all texts."""
-    word = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(words(F.col(text))).alias("w")).where((F.length("w") <= WORD_LENGTH) & F.col("w").rlike(r"^\p{L}+$"))
-    counts = word.groupBy("lang", F.lower("w").alias("w")).count()
-    top = Window.partitionBy("lang").orderBy(F.desc("count"), "w")
-    best = counts.withColumn("r", F.row_number().over(top)).where(F.col("r") <= COMMON)
-    per_lang = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).count().where(F.col("count") >= LEAST_TEXTS)
-    return sorted({r["w"] for r in best.join(F.broadcast(per_lang.select("lang")), "lang").select("w").collect()})
+def word_counts(docs: DataFrame) -> DataFrame:
+    """lang, w, n: how often each short word, in lower case, stands in all texts of a language."""
+    word = docs.where("_lang IS NOT NULL").select(F.col("_lang").alias("lang"), F.explode(words(F.col("_text"))).alias("w"))
+    word = word.where((F.length("w") <= WORD_LENGTH) & F.col("w").rlike(r"^\p{L}+$"))
+    return word.groupBy("lang", F.lower("w").alias("w")).agg(F.count("*").alias("n"))
+
+
+def language_totals(docs: DataFrame) -> DataFrame:
+    """lang, words and c (characters by class) summed over all texts of the languages with LEAST_TEXTS texts or more."""
+    known = char_classes(split_words(docs.where("_lang IS NOT NULL")))
+    sums = F.array(*[F.sum(F.col("_chars")[i].cast("bigint")) for i in range(CHAR_BINS)])
+    found = known.groupBy(F.col("_lang").alias("lang")).agg(F.count("*").alias("texts"), F.sum(F.size("_w").cast("bigint")).alias("words"), sums.alias("c"))
+    return found.where(F.col("texts") >= LEAST_TEXTS).select("lang", "words", "c")
+
+
+def common_words(counts: DataFrame, totals: DataFrame) -> list[str]:
+    """The union over the languages of totals of their COMMON most frequent short words."""
+    top = Window.partitionBy("lang").orderBy(F.desc("n"), "w")
+    best = counts.withColumn("r", F.row_number().over(top)).where(F.col("r") <= COMMON).join(totals.select("lang"), "lang", "left_semi")
+    return sorted({r["w"] for r in best.select("w").collect()})
 
 
-def histograms(df: DataFrame, common: list[str]) -> DataFrame:
-    """Adds _chars, an array of counts, and _common, the slots that occur with their counts (the last slot takes the rest): its
-    size follows the text, not the number of languages. Needs what base_counts adds."""
+def references(counts: DataFrame, totals: DataFrame, common: list[str]) -> DataFrame:
+    """lang, c and w (shares of the character classes and of the slots), far (the distance from w of a text without common
+    words; null if the language has none) of the languages of totals; and a row without lang whose column every holds all."""
+    slots = counts.where(F.col("w").isin(common)).groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias("m"))
+    found = F.transform(F.array(*map(F.lit, common)) if common else F.array().cast("array<string>"), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("bigint")))
+    refs = totals.join(slots, "lang", "left").withColumn("found", found)
+    rest = F.col("words") - F.aggregate("found", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    refs = refs.select("lang", shares(F.col("c")).alias("c"), shares(F.concat("found", F.array(rest))).alias("w"))
+    q = F.element_at("w", -1)
+    far = F.sqrt(0.5 * (F.log2(2 / (1 + q)) + F.when(q > 0, q * F.log2(2 * q / (1 + q))).otherwise(F.lit(0.0)) + 1 - q))
+    refs = refs.withColumn("far", F.when(q < 1, far))
+    every = refs.agg(F.lit(None).cast(refs.schema["lang"].dataType).alias("lang"), F.collect_list(F.struct("c", "w", "far")).alias("every"))
+    return refs.unionByName(every, allowMissingColumns=True)
+
+
+def char_classes(df: DataFrame) -> DataFrame:
+    """Adds _chars, the number of characters by class. Needs what split_words adds."""
     classes = [F.length("_t") - F.length(F.regexp_replace("_t", c, "")) for c in CLASSES]
     df = df.withColumn("_c", F.array(*classes, F.length("_t") - F.col("word_chars").cast("int")))
-    df = df.withColumn("_chars", F.concat("_c", F.array(F.length("_t") - F.aggregate("_c", F.lit(0), lambda a, x: a + x))))
+    return df.withColumn("_chars", F.concat("_c", F.array(F.length("_t") - F.aggregate("_c", F.lit(0), lambda a, x: a + x)))).drop("_c")
+
+
+def common_slots(df: DataFrame, common: list[str]) -> DataFrame:
+    """Adds _common, the slots that occur with their counts (the last slot takes the rest): its size follows the text, not the
+    number of languages. Needs what base_counts adds."""
     hit = F.lit("")
     if common:
         slots = F.create_map(*[x for i, w in enumerate(common) for x in (F.lit(w), F.lit(slot_char(i)))])
@@ -99,7 +137,7 @@ def histograms(df: DataFrame, common: list[str]) -> DataFrame:
     slot = lambda c: F.ascii(c) - SLOT - F.when(F.ascii(c) >= 0xD800, F.lit(0x800)).otherwise(F.lit(0))
     counts = F.transform("_seen", lambda c: F.struct(slot(c).alias("slot"), (F.length("_hit") - F.length(F.replace("_hit", c, F.lit("")))).alias("n")))
     rest = F.struct(F.lit(len(common)).alias("slot"), (F.col("n_words").cast("int") - F.length("_hit")).alias("n"))
-    return df.withColumn("_common", F.concat(counts, F.array(rest))).drop("_c", "_hit", "_seen")
+    return df.withColumn("_common", F.concat(counts, F.array(rest))).drop("_hit", "_seen")
 
 
 def shares(counts: Column) -> Column:
@@ -129,41 +167,36 @@ def sparse_js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), 0.5 * (both + only)))
 
 
-def references(counted: DataFrame, slots: int) -> DataFrame:
-    """lang, c and w (shares of the character classes and of the slots) of every language with LEAST_TEXTS texts or more."""
-    known = counted.where(F.col("_lang").isNotNull())
-    chars = known.groupBy(F.col("_lang").alias("lang")).agg(F.count("*").alias("texts"), F.array(*[F.sum(F.col("_chars")[i].cast("bigint")) for i in range(CHAR_BINS)]).alias("c")).where(F.col("texts") >= LEAST_TEXTS)
-    sums = known.select(F.col("_lang").alias("lang"), F.inline("_common")).groupBy("lang", "slot").agg(F.sum(F.col("n").cast("bigint")).alias("n"))
-    words_ = sums.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint")))
-    return chars.join(words_, "lang").select("lang", shares(F.col("c")).alias("c"), shares(dense).alias("w"))
-
-
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", limits: Limits = Limits(), keep: list[str] | None = None) -> DataFrame:
     """The columns of keep (all of docs by default) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance,
-    word_distance and kept; columns of docs with these names are replaced.
+    word_distance, word_ratio (that distance by the distance of a text without common words) and kept; columns of docs with
+    these names are replaced.
 
     Null and blank texts have no words and fail the base rules. A distance is null where its guard or a missing reference
     leaves it out. Repeated rows are judged alike; an empty table gives an empty result."""
     keep = [c for c in (docs.columns if keep is None else keep)]
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "word_ratio", "kept"]
     own = docs.select(F.struct(*keep).alias("_row"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
-    common = common_words(docs, text, lang)
-    counted = materialize(histograms(base_counts(own, "_text"), common).drop("_w", "_t", "_text"), "counted")
-    refs = materialize(references(counted, len(common) + 1), "references", rows=1)
+    with scratch(docs.sparkSession):
+        counts = materialize(word_counts(own), "word_counts")
+        totals = materialize(language_totals(own), "totals", rows=1)
+        common = common_words(counts, totals)
+        refs = retain(materialize(references(counts, totals, common), "references", rows=1))
+    judged = common_slots(char_classes(base_counts(split_words(own))), common)
     total = F.col("n_words").cast("double")
-    judged = counted.withColumn("_n", F.aggregate("_chars", F.lit(0).cast("bigint"), lambda a, x: a + x)).withColumn("_p", shares(F.col("_chars")))
+    judged = judged.withColumn("_n", F.aggregate("_chars", F.lit(0).cast("bigint"), lambda a, x: a + x)).withColumn("_p", shares(F.col("_chars")))
     judged = judged.withColumn("_q", F.transform("_common", lambda x: F.struct(x["slot"].alias("slot"), F.when(total > 0, x["n"] / total).otherwise(F.lit(0.0)).alias("share"))))
+    # one reference a language: a row for each distinct value of lang that is common enough
+    judged = judged.join(F.broadcast(refs), F.col("_lang").eqNullSafe(F.col("lang")), "left")
     chars, enough = F.col("_n") >= limits.guard_chars, F.col("n_words") >= limits.guard_words
-    named = judged.where(F.col("_lang").isNotNull()).join(F.broadcast(refs), F.col("_lang") == F.col("lang"), "left")
-    named = named.withColumn("char_distance", F.when(chars & F.col("c").isNotNull(), js_distance(F.col("_p"), F.col("c"))))
-    named = named.withColumn("word_distance", F.when(enough & F.col("w").isNotNull(), sparse_js_distance(F.col("_q"), F.col("w")))).drop("lang", "c", "w")
-    every = refs.agg(F.collect_list(F.struct("c", "w")).alias("refs"))
-    free = judged.where(F.col("_lang").isNull()).crossJoin(F.broadcast(every))
-    free = free.withColumn("char_distance", F.when(chars, F.array_min(F.transform("refs", lambda r: js_distance(F.col("_p"), r["c"])))))
-    free = free.withColumn("word_distance", F.when(enough, F.array_min(F.transform("refs", lambda r: sparse_js_distance(F.col("_q"), r["w"]))))).drop("refs")
-    judged = named.unionByName(free)
+    by_char = lambda r: js_distance(F.col("_p"), r["c"])
+    by_word = lambda r: sparse_js_distance(F.col("_q"), r["w"])
+    own_ref = F.struct("c", "w", "far")
+    judged = judged.withColumn("char_distance", F.when(chars, F.when(F.col("_lang").isNull(), F.array_min(F.transform("every", by_char))).when(F.col("c").isNotNull(), by_char(own_ref))))
+    judged = judged.withColumn("word_distance", F.when(enough, F.when(F.col("_lang").isNull(), F.array_min(F.transform("every", by_word))).when(F.col("w").isNotNull(), by_word(own_ref))))
+    ratio = F.when(F.col("_lang").isNull(), F.array_min(F.transform("every", lambda r: by_word(r) / r["far"]))).otherwise(F.col("word_distance") / F.col("far"))
+    judged = judged.withColumn("word_ratio", F.when(enough, ratio))
     failed = (F.col("n_words") < limits.least_words) | (100 * F.col("n_repeat_words") > limits.most_repeat_percent * F.col("n_words"))
-    far = F.coalesce(F.col("char_distance") > limits.char_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > limits.word_distance, F.lit(False))
+    far = F.coalesce(F.col("char_distance") > limits.char_distance, F.lit(False)) | F.coalesce(F.col("word_ratio") > limits.word_ratio, F.lit(False))
     judged = judged.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
     return judged.select(*[F.col("_row")[c].alias(c) for c in keep if c not in made], *made)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumgrid.llm.bytehash import buffer_of, prefix_sums, span_hashes
-from vellumgrid.llm.common import materialize, release_shuffles, retain, scratch
+from vellumgrid.llm.common import materialize, retain, scratch
 from vellumgrid.llm.suffix_sort import common_prefixes, sort_suffixes, words8
 
 #: Bytes of an anchor; contexts of an anchor that are gathered, at most; contexts in a shard, about.
@@ -155,14 +155,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
         counted = rows(False).groupBy("anchor").agg(F.count("*").alias("m"), F.min("context").alias("c0"), F.max("context").alias("c1"))
         again = materialize(counted.where("m > 1").select("anchor", (F.col("c0") != F.col("c1")).alias("several")), "again")
-        release_shuffles(spark)
         found = materialize(rows(True).join(again, "anchor"), "found")
-        release_shuffles(spark)
         classes = materialize(found.groupBy("anchor", "context", "several").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("m")), "classes")
         start, windows = F.shiftright("place", 2 * part), F.shiftright("place", part).bitwiseAND(F.lit((1 << part) - 1))
         copies = found.join(classes.where("m > 1").select("anchor", "context", "first"), ["anchor", "context"]).where((F.col("id") != F.col("first.id")) | (F.col("place") != F.col("first.place")))
         spans = materialize(copies.select("id", start.alias("begin"), (start + windows + length).alias("end")), "copies")
-        release_shuffles(spark)
 
         firsts = classes.where("several").select("anchor", F.col("first.id").alias("id"), F.col("first.place").alias("place"))
         sizes = classes.where("several").groupBy("anchor").agg(F.count("*").alias("contexts"))
@@ -184,7 +181,6 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
         gathered = own.join(per_doc, "id").mapInArrow(cut, "anchor bigint, id bigint, lo bigint, n bigint, contexts bigint, raw binary")
         gathered = materialize(gathered, "gathered")
-        release_shuffles(spark)
 
         def shard(table: pa.Table) -> pa.Table:
             raw = table.column("raw").to_pylist()
@@ -208,7 +204,6 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         earliest = single.groupBy("w").agg(F.min(F.struct("id", "begin")).alias("first"))
         hot = single.join(earliest, "w").where((F.col("id") != F.col("first.id")) | (F.col("begin") != F.col("first.begin"))).select("id", "begin", (F.col("begin") + length).alias("end"))
         spans = retain(materialize(spans.unionByName(partial).unionByName(hot), "spans"))
-        release_shuffles(spark)
     by_doc = spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
