@@ -1,9 +1,11 @@
 """Mixing sources to target weights: certain whole copies first, then Pareto order sampling of the rest.
 
 A source of `source_size` words that is due `target` words has the rate target / source_size. Each of its documents is
-taken floor(rate) times for certain; the remaining words come from one more copy of some documents, each included with
-the odds of the rate's fraction. Documents are ranked by (u / (1 - u)) / (p / (1 - p)), with u a hash of the document and
-p its inclusion probability, and taken in this order until the words due are reached as nearly as one document allows.
+taken floor(rate) times for certain; the remaining words come from one more copy of some documents. A document's inclusion
+probability p is in proportion to its size, 1 at most, such that the words expected are those due; c in p = min(1, c * size)
+follows from the source's counts by size. Documents of probability 1 are certain too. The others are ranked by
+(u / (1 - u)) / (p / (1 - p)), with u a hash of the document, and taken in this order until the words due are reached as
+nearly as one document allows.
 
 No source is sorted as a whole: words are summed by source and rank bucket, and the bucket in which the sum crosses what
 is due is found in that small table, BUCKETS rows a source; then once more over the finer buckets within it. Only the
@@ -17,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumgrid.llm.common import materialize, words
+from vellumgrid.llm.common import materialize, retain, scratch, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Copies of a document, and so words of a source, at most.
@@ -47,6 +49,21 @@ def source_targets(sized: DataFrame, weights: Sequence[float], most: int) -> Dat
     return levels.withColumn("share", first).select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("share") * F.col("w"), F.col("cap"))).alias("target"))
 
 
+def inclusion_rates(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """For sources that are due words c_source, c, largest and start: the words of all documents, each by min(1, c * size),
+    sum to what is due; those above the size `largest` are certain and have `start` words.
+
+    With the sizes in falling order, those that are capped come first: for each number of them c follows from the rest, and
+    the right number is the least with which no other size is capped. A source has a row for each distinct size."""
+    sizes = sized.where("size > 0").groupBy("source", "size").agg(F.count("*").cast("double").alias("n")).withColumnRenamed("source", "c_source")
+    sizes = sizes.join(plan.where("due > 0").select("source", "due"), F.col("c_source").eqNullSafe(F.col("source"))).drop("source")
+    falling = Window.partitionBy("c_source").orderBy(F.desc("size"))
+    capped = F.coalesce(F.sum(F.col("n") * F.col("size")).over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    free = F.sum(F.col("n") * F.col("size") * F.col("size")).over(falling.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    tried = sizes.select("c_source", "size", capped.alias("start"), ((F.col("due") - capped) / free).alias("c")).where(F.col("c") * F.col("size") <= 1)
+    return tried.groupBy("c_source").agg(F.max_by("c", "size").alias("c"), F.max("size").alias("largest"), F.max_by("start", "size").alias("start"))
+
+
 def bucket_of(odds: Column, buckets: int) -> Column:
     """Rank bucket: the odds ratio, taken back to 0 to 1."""
     return F.least(F.lit(buckets - 1), F.floor(odds / (odds + 1) * buckets)).cast("int")
@@ -66,19 +83,25 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int =
     Null texts have size 0 and are taken as often as their source's certain copies; a source without words has target 0
     and no copies. A null source is a source of its own, after all others. Rows that agree in id, source, size and text are
     ties, of which any may be taken; a repeated run takes the same number. An empty table gives an empty result."""
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.col(text).alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     sized = docs.select("id", "source", *[f"keep_{c}" for c in keep], F.size(words(F.col("text"))).cast("bigint").alias("size"), F.xxhash64(F.lit(7), "id", "source", "text").alias("h"))
-    sized = materialize(sized, "sized")
-    targets = materialize(source_targets(sized, weights, most), "targets")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = targets.withColumn("rate", F.least(rate, F.lit(float(most)))).withColumn("whole", F.floor("rate").cast("int")).withColumn("p", F.col("rate") - F.col("whole")).withColumn("due", F.col("p") * F.col("source_size"))
-    u = (F.shiftrightunsigned(F.col("h"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    odds = F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
-    ranked = sized.withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(F.col("source"))).drop("s").withColumn("rank", odds)
-    ranked = ranked.withColumn("coarse", bucket_of(F.col("rank"), BUCKETS)).withColumn("bucket", bucket_of(F.col("rank"), BUCKETS * BUCKETS))
     same = F.col("source").eqNullSafe(F.col("c_source"))
-    first = crossing_bucket(ranked.where("p > 0").withColumn("start", F.lit(0)), "coarse")
-    crossing = crossing_bucket(ranked.join(first.withColumnRenamed("before", "start"), same & (F.col("coarse") == F.col("c_bucket"))), "bucket")
+    with scratch(spark):
+        sized = retain(materialize(sized, "sized"))
+        targets = materialize(source_targets(sized, weights, most), "targets")
+        rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+        plan = targets.withColumn("rate", F.least(rate, F.lit(float(most)))).withColumn("whole", F.floor("rate").cast("int")).withColumn("due", (F.col("rate") - F.col("whole")) * F.col("source_size"))
+        plan = plan.join(inclusion_rates(sized, plan), same, "left").drop("c_source")
+        plan = retain(materialize(plan, "plan"))
+        sure = F.coalesce(F.col("size") > F.col("largest"), F.lit(False))
+        p = F.when(~sure, F.least(F.lit(1.0), F.col("c") * F.col("size")))
+        u = (F.shiftrightunsigned(F.col("h"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+        odds = F.when(F.col("p") >= 1, F.lit(0.0)).when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
+        ranked = sized.withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(F.col("source"))).drop("s").withColumn("p", p).withColumn("rank", odds).withColumn("whole", F.col("whole") + sure.cast("int"))
+        ranked = ranked.withColumn("coarse", bucket_of(F.col("rank"), BUCKETS)).withColumn("bucket", bucket_of(F.col("rank"), BUCKETS * BUCKETS))
+        first = crossing_bucket(ranked.where("p > 0"), "coarse")
+        crossing = retain(crossing_bucket(ranked.drop("start").join(first.withColumnRenamed("before", "start"), same & (F.col("coarse") == F.col("c_bucket"))), "bucket"))
     placed = ranked.join(crossing, same, "left")
     inside = F.coalesce(F.col("bucket") < F.col("c_bucket"), F.lit(False))
     edge = F.coalesce(F.col("bucket") == F.col("c_bucket"), F.lit(False))
