@@ -19,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumgrid.llm.common import materialize
+from vellumgrid.llm.common import materialize, retain, scratch
 
 LEVELS, RESCORE = 16, 64
 #: Segments processed between two tests for the end.
 STEP = 160
+#: Size of a component, at most: differences of components fit 64 bits.
+MOST = 1 << 61
+LONG = 1 << 63
 #: Candidates and queries in a block, at most.
 CANDIDATES, QUERIES = 4096, 1024
 
@@ -43,19 +46,21 @@ class Index:
         self.postings = (by % n).astype(np.int32)
         self.sizes = np.bincount(key.ravel(), minlength=d * LEVELS)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.exact = np.float64 if float(np.abs(self.vectors).max(initial=0)) ** 2 * d < 2**50 else object
+        self.most = float(np.abs(self.vectors).max(initial=0))
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best candidates but own, ties to smaller ids."""
         n, d = self.vectors.shape
-        weight = np.abs(query)
-        levels = np.arange(LEVELS)
+        weight = np.abs(query).astype(np.float64)
+        levels = np.arange(LEVELS, dtype=np.float64)
         gain = np.where(query[:, None] > 0, levels, LEVELS - 1 - levels) * (self.width * weight)[:, None]  # least impact of each segment
         slack = float((weight * (self.width - 1)).sum())
+        slack += 1e-9 * (slack + float(gain.max(axis=1).sum()))  # impacts are summed as doubles: far over their rounding
         flat = gain.ravel()
         order = np.argsort(-flat, kind="stable")
         order = order[(flat[order] > 0) & (self.sizes[order] > 0)]
         scores = np.zeros(n)
+        base = float(np.where(query > 0, self.low, self.high).astype(np.float64) @ query.astype(np.float64))  # of the worst values
         valid = self.ids != own
         need = min(k, int(valid.sum()))
         if not need:
@@ -70,19 +75,26 @@ class Index:
             after = order[i + STEP :]
             rest[:] = 0
             np.maximum.at(rest, after // LEVELS, flat[after])
-            best = np.partition(scores[valid], -need)[-need]
+            best = min(np.partition(scores[valid], -need)[-need], LONG - base)  # scores beyond a long are ties
+            if best + slack <= -LONG - base:
+                best = -np.inf
             members = np.flatnonzero(valid & (scores + slack + rest.sum() >= best))
             if len(members) <= RESCORE:
                 break
-        exact = self.vectors[members].astype(self.exact) @ query.astype(self.exact)
-        top = np.lexsort((self.ids[members], -exact))[:need]
-        return self.ids[members[top]], exact[top].astype(np.int64)
+        if self.most * weight.max(initial=0) * d < 2**53:  # sums are exact as doubles
+            exact = self.vectors[members].astype(np.float64) @ query.astype(np.float64)
+            top = np.lexsort((self.ids[members], -exact))[:need]
+            return self.ids[members[top]], exact[top].astype(np.int64)
+        sums = [sum(a * b for a, b in zip(v, query.tolist(), strict=True)) for v in self.vectors[members].tolist()]
+        top = sorted((-min(max(s, -LONG), LONG - 1), i) for s, i in zip(sums, self.ids[members].tolist(), strict=True))[:need]
+        return np.array([i for _, i in top], np.int64), np.array([-s for s, _ in top], np.int64)
 
 
 def integers(vector: Column, scale: int) -> Column:
-    """floor(scale * x) of each component as bigint; null for vectors that are null or hold null or non-finite components."""
+    """floor(scale * x) of each component as bigint, MOST at most and -MOST at least; null for vectors that are null or hold
+    null or non-finite components."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(vector.isNotNull() & ~F.coalesce(bad, F.lit(True)), F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
+    return F.when(vector.isNotNull() & ~F.coalesce(bad, F.lit(True)), F.transform(vector, lambda x: F.greatest(F.lit(-MOST), F.least(F.lit(MOST), F.floor(x.cast("double") * scale)))))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -91,9 +103,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
 
     Rows whose vector is null, or has null or non-finite components, or whose id is null, take no part; nor do pairs of
     unequal length. A row's own id is no candidate; repeated ids are separate candidates and queries with one answer.
-    Ties go to the smaller id. An empty table gives an empty result."""
+    Ties go to the smaller id. Components beyond MOST count as MOST, scores that no long holds as the nearest
+    long. An empty table gives an empty result."""
     table = vectors.select(F.col(id_col).cast("bigint").alias("id"), integers(F.col(vector), scale).alias("v"), is_query.alias("q")).where("id IS NOT NULL AND v IS NOT NULL").withColumn("d", F.size("v"))
-    table = materialize(table, "integers")
+    with scratch(vectors.sparkSession):
+        table = retain(materialize(table, "integers"))
     sizes = table.groupBy("d").agg(F.count("*").alias("n"), F.count_if("q").alias("nq"))
     block = lambda n, most: F.greatest(F.lit(1), F.ceil(n / F.lit(float(most)))).cast("int")
     sizes = sizes.select("d", block(F.col("n"), CANDIDATES).alias("nc"), block(F.col("nq"), QUERIES).alias("nb"))
