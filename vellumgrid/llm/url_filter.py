@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumgrid.llm.common import ascii_lower, materialize
+from vellumgrid.llm.common import ascii_lower, materialize, scratch
 
 Rule = tuple[str, str, str]
 #: Expected number of keys that level 1 takes by mistake, at most.
@@ -43,7 +43,7 @@ class Level:
     words: tuple[int, ...]
 
     def has(self, key: Column) -> Column:
-        table = F.array(*[F.lit(w).cast("bigint") for w in self.words])
+        table = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # one literal, folded once
         found = None
         for p in positions(key, self.bits, self.hashes, self.seed):
             word = F.element_at(table, (F.shiftright(p, 6) + 1).cast("int"))
@@ -105,18 +105,17 @@ def member(levels: Sequence[Level], key: Column) -> Column:
     return verdict
 
 
-def rules_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(h + p).alias("key"), F.lit(v).alias("verdict")) for h, p, v in rules])
-    return spark.range(1).select(F.inline(rows))
+def rules_table(spark: SparkSession, rules: Sequence[Rule] | DataFrame) -> DataFrame:
+    """key, verdict and the length of the path; rules with a null in any column are left out."""
+    table = rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    return table.dropna(subset=["host", "path", "verdict"]).select(F.concat("host", "path").alias("key"), "verdict", F.length("path").alias("length"))
 
 
-def build_cascades(pages: DataFrame, rules: Sequence[Rule], lengths: Sequence[int], url: str) -> dict[str, list[Level]]:
+def build_cascades(pages: DataFrame, listed: DataFrame, verdicts: Sequence[str], lengths: Sequence[int], url: str) -> dict[str, list[Level]]:
     """Per verdict the cascade that tells the keys of its rules from all other keys of the pages."""
-    spark = pages.sparkSession
-    listed = rules_table(spark, rules)
     n = max(1, pages.count() * PROBES)
     hashes = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(n / MISTAKES)) if n > MISTAKES else 0))
-    first = {v: build_level(listed.where(F.col("verdict") == v).select("key").distinct(), hashes, 0) for v in sorted({r[2] for r in rules})}
+    first = {v: build_level(listed.where(F.col("verdict") == v).select("key").distinct(), hashes, 0) for v in verdicts}
     host, path = url_parts(F.col(url))
     universe = pages.select(host.alias("host"), path.alias("path")).select(F.explode(probe_keys(F.col("host"), F.col("path"), lengths)).alias("probe")).select("probe.key")
     taken = None
@@ -134,17 +133,22 @@ def build_cascades(pages: DataFrame, rules: Sequence[Rule], lengths: Sequence[in
     return cascades
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url") -> DataFrame:
-    """pages with host, path, rule and verdict ("allow" or "block") added; columns of these names are replaced.
+def filter_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame, url: str = "url") -> DataFrame:
+    """rules: triples, or a table with the columns host, path and verdict, of which only filter bits come to the driver.
+
+    pages with host, path, rule and verdict ("allow" or "block") added; columns of these names are replaced.
 
     Null urls and urls without "://" have an empty host and path, no rule, and are allowed. Without rules, all are
     allowed. A key listed under both verdicts is blocked. Repeated rows stay repeated."""
     host, path = url_parts(F.col(url))
     split = pages.withColumns({"host": host, "path": path})
-    if not rules:
-        return split.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
-    lengths = sorted({len(p) for _, p, _ in rules})
-    cascades = build_cascades(pages, rules, lengths, url)
+    with scratch(pages.sparkSession):
+        listed = rules_table(pages.sparkSession, rules)
+        kinds = listed.groupBy("length", "verdict").count().collect()  # distinct lengths of paths
+        if not kinds:
+            return split.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
+        lengths = sorted({r["length"] for r in kinds})
+        cascades = build_cascades(pages, listed, sorted({r["verdict"] for r in kinds}), lengths, url)
     block, allow = cascades.get("block", []), cascades.get("allow", [])
     hit = lambda levels, key: member(levels, key) if levels else F.lit(False)
     judged = F.transform(
@@ -152,4 +156,5 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url") -> Da
         lambda x: F.struct(x["size"].alias("size"), x["host_size"].alias("host_size"), x["key"].alias("key"), F.when(hit(block, x["key"]), F.lit("block")).when(hit(allow, x["key"]), F.lit("allow")).alias("verdict")),
     )
     best = F.array_max(F.filter(judged, lambda x: x["verdict"].isNotNull()))
-    return split.withColumn("_best", best).withColumns({"rule": F.col("_best.key"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit("allow"))}).drop("_best")
+    own = "_best" + "_" * max(map(len, split.columns))  # no column of pages has this name
+    return split.withColumn(own, best).withColumns({"rule": F.col(own)["key"], "verdict": F.coalesce(F.col(own)["verdict"], F.lit("allow"))}).drop(own)
