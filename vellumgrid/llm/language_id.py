@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Signs of a vector; letter classes; texts sampled for each language; languages, those with most texts.
-DIMS, SYMBOLS, SAMPLE, LANGUAGES = 1024, 509, 1500, 256
+#: Signs of a vector; letter classes; texts sampled for each language, about.
+DIMS, SYMBOLS, SAMPLE = 1024, 509, 1500
 #: Trigrams whose vectors are made at once.
 STEP = 4096
 UNKNOWN = "und"
@@ -102,9 +102,9 @@ def vectors() -> Vectors:
 
 
 def learn_prototypes(train: DataFrame, text: str, lang: str, id_col: str) -> dict[str, np.ndarray]:
-    """Unit vectors by language, from the rows of train; at most LANGUAGES times DIMS numbers come to the driver."""
+    """Unit vectors by language, from the rows of train; DIMS numbers for each value of lang come to the driver."""
     train = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = train.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = train.groupBy(F.col(lang).alias("lang")).count().orderBy("lang").collect()
     if not sizes:
         return {}
     rate = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, SAMPLE / r["count"])))])

@@ -16,7 +16,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     fold = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 4 == 2
     scored = score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ~fold("id"))
-    return scored.select("doc_id", fold("doc_id").alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(fold("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     docs = read_table(spark, sf_dir, "documents")
-    return identify_language(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return identify_language(docs, ~held_out).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

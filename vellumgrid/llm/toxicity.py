@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumgrid.llm.common import materialize, scratch
+
 #: Labelled rows of each label to learn from; terms of the lexicon, at most.
 SAMPLE, TERMS = 10_000, 4_000
 RATIO, LEAST_SHARE, LEAST_TEXTS = 20.0, 0.01, 3
@@ -161,11 +163,12 @@ def scanner(terms: tuple[str, ...]) -> Scanner:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, train_rows: Column, text: str, id_col: str, label: str) -> DataFrame:
-    """y and text of the rows to learn from; the labels' side is bounded by 2 * SAMPLE rows, and so broadcast."""
+    """y and text of the rows to learn from, one an id (the least text of those that share it): 2 * SAMPLE rows at most, which
+    is also the bound of the labels' side, and so broadcast."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where(train_rows & F.col("id").isNotNull() & F.col("y").isin(0, 1)).groupBy("id").agg(F.max("y").alias("y"))
     order = F.xxhash64(F.lit(5), "id")
     picked = own.where("y = 1").orderBy(order, "id").limit(SAMPLE).unionByName(own.where("y = 0").orderBy(order, "id").limit(SAMPLE))
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(picked), "id").select("y", "text")
+    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(picked), "id").groupBy("id").agg(F.min("y").alias("y"), F.min("text").alias("text")).select("y", "text")
 
 
 def learn_lexicon(sample: DataFrame, totals: dict[int, int]) -> tuple[tuple[str, ...], np.ndarray]:
@@ -214,20 +217,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: Column, thres
     train_rows: which ids (column id) may be learned from. Null and blank texts score as a text without finds. Without
     labels of both kinds nothing is learned and all score 0. A row labelled more than once has its greatest label.
     Repeated rows and null ids stay; an empty table gives an empty result."""
-    sample = labelled_sample(docs, labels, train_rows, text, id_col, label)
-    totals = {0: 0, 1: 0} | {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    terms, ratios, fitted = (), np.zeros(0), None
-    if totals[0] and totals[1]:
-        terms, ratios = learn_lexicon(sample, totals)
-
-        def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            s = scanner(terms)
-            for batch in batches:
-                yield pa.record_batch([batch.column(0), pa.array([s.features(t, ratios) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], ["y", "x"])
-
-        rows = sample.mapInArrow(featured, "y int, x array<double>").collect()
-        rows.sort(key=lambda r: (r["y"], r["x"]))
-        fitted = fit_logistic(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]))
+    with scratch(docs.sparkSession):
+        terms, ratios, fitted = learn(materialize(labelled_sample(docs, labels, train_rows, text, id_col, label), "sample"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scanner(terms)
@@ -241,3 +232,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: Column, thres
     ids = docs.schema[id_col].dataType.simpleString()
     made = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {ids}, score double")
     return made.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def learn(sample: DataFrame) -> tuple[tuple[str, ...], np.ndarray, np.ndarray | None]:
+    """Terms, their log ratios, and the regression's weights (None without labels of both kinds)."""
+    totals = {0: 0, 1: 0} | {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    terms, ratios, fitted = (), np.zeros(0), None
+    if totals[0] and totals[1]:
+        terms, ratios = learn_lexicon(sample, totals)
+
+        def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            s = scanner(terms)
+            for batch in batches:
+                yield pa.record_batch([batch.column(0), pa.array([s.features(t, ratios) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], ["y", "x"])
+
+        rows = sample.mapInArrow(featured, "y int, x array<double>").collect()
+        rows.sort(key=lambda r: (r["y"], r["x"]))
+        fitted = fit_logistic(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]))
+    return terms, ratios, fitted
