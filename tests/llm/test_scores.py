@@ -29,9 +29,12 @@ def test_urls_equal_brute_force(spark):
     hosts = ["com", "example.com", "www.example.com", "a.www.example.com", "xexample.com", "x.net", "NET", "a..net", "", "com.net"]
     urls = [f"{s}://{h}{p}" for s in ("http", "HTTPS", "a://b") for h in hosts for p in ("", "/", "/en/", "/en", "/es/x?y=/en/", "?a", "#/en/", "/es/\n")]
     urls += [None, "", "no scheme", "://", "http:/x", "http://" + "a." * 400 + "com/x"] + [f"http://h{rng.randrange(10**9)}.example.com/en/{i}" for i in range(300)]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").withColumn("rule", F.lit(1)).withColumn("key", F.lit("k"))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").withColumn("rule", F.lit(1)).withColumns({c: F.lit("k") for c in ("key", "_best", "probe", "size", "length")})
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in filter_urls(pages, RULES).collect()}
     assert got == {i: brute_url(u) for i, u in enumerate(urls)}
+    assert {"_best", "probe", "length"} <= set(filter_urls(pages, RULES).columns)
+    listed = spark.createDataFrame([*RULES, (None, "/", "block"), RULES[0]], "host string, path string, verdict string")
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in filter_urls(pages.unionByName(pages), listed).collect()} == got
     assert {r.verdict for r in filter_urls(pages, []).collect()} == {"allow"} and filter_urls(pages.where("page_id < 0"), RULES).count() == 0
 
 
@@ -114,6 +117,20 @@ def test_top_k_equals_brute_force(spark, n, d, spread):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(4)
+    for most in (10**6, 10**7, 10**9, 10**17, 10**25):
+        values = [[float(x) for x in rng.normal(size=6) * most] for _ in range(120)]
+        rows = [*enumerate(values), (7, [float(most)] * 6)]
+        whole = [(i, [min(max(int(np.floor(256 * x)), -(1 << 61)), 1 << 61) for x in v]) for i, v in rows]
+        got = {}
+        for r in top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        for q in (0, 50, 100):
+            sums = [(sum(a * b for a, b in zip(whole[q][1], v)), i) for i, v in whole if i != q]
+            assert got[q] == [(i, -s) for s, i in sorted((-min(max(s, -(1 << 63)), (1 << 63) - 1), i) for s, i in sums)[:5]], most
+
+
 def test_top_k_with_blocks(spark, monkeypatch):
     from vellumgrid.llm import topk_search
 
@@ -151,6 +168,39 @@ def test_mix_meets_targets(spark):
     assert mix_sources(docs.where("doc_id < 0")).count() == 0
 
 
+def test_mix_takes_the_documents_of_a_plain_pareto_order(spark):
+    rng = random.Random(16)
+    rows = [(i, prose(rng, rng.choice([0, 3, 7, 20, 20, 45, 300])), "en", s) for i, s in enumerate(rng.choices(["a", "b", "c"], weights=[60, 9, 30], k=900))]
+    rows += [(900 + i, rows[5][1], "en", rows[5][3]) for i in range(40)] + [(None, "x y z", "en", "b"), (3, rows[3][1], "en", rows[3][3])]
+    docs = documents(spark, rows)
+    got = mix_sources(docs, keep=["source"]).collect()
+    hashes = [r.h / 2**64 if r.h >= 0 else (r.h + 2**64) / 2**64 for r in docs.select(F.xxhash64(F.lit(7), "doc_id", "source", "text").alias("h")).collect()]
+    want = {}
+    for s in "abc":
+        own = [(x[0], len((x[1] or "").split()), h) for x, h in zip(rows, hashes, strict=True) if x[3] == s]
+        target = next(r.target for r in got if r.source == s)
+        rate = target / sum(n for _, n, _ in own)
+        due, lo, hi = (rate - int(rate)) * sum(n for _, n, _ in own), 0.0, 1.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(n * min(1, mid * n) for _, n, _ in own) < due else (lo, mid)
+        extra, total = set(), 0
+        ranks = [(0.0 if (p := min(1, hi * n)) >= 1 else h / (1 - h) / (p / (1 - p)), k) for k, (_, n, h) in enumerate(own) if n and due]
+        for rank, k in sorted(ranks):
+            n = own[k][1]
+            if total < due and abs(total + n - due) <= due - total or total + n <= due:
+                extra.add(k)
+            elif total >= due:
+                break
+            total += n
+        for k, (i, n, _) in enumerate(own):
+            want[i, n, s] = want.get((i, n, s), 0) + n * (int(rate) + (k in extra))
+    taken = {}
+    for r in got:
+        taken[r.doc_id, r.size, r.source] = taken.get((r.doc_id, r.size, r.source), 0) + r.taken
+    assert taken == want
+
+
 def test_lexicon_finds_misspelt_terms():
     trie = Trie(["idiot", "scum", "disgusting", "slim*"])
     assert trie.find("idiot") == (0, 0) and trie.find("idoit") is None and trie.find("idi0t") == (1, 0) and trie.find("idiott") == (1, 0) and trie.find("diot") == (1, 0)
