@@ -186,13 +186,13 @@ def test_mix_takes_the_documents_of_a_plain_pareto_order(spark):
             lo, hi = (mid, hi) if sum(n * min(1, mid * n) for _, n, _ in own) < due else (lo, mid)
         extra, total = set(), 0
         ranks = [(0.0 if (p := min(1, hi * n)) >= 1 else h / (1 - h) / (p / (1 - p)), k) for k, (_, n, h) in enumerate(own) if n and due]
-        for rank, k in sorted(ranks):
-            n = own[k][1]
-            if total < due and abs(total + n - due) <= due - total or total + n <= due:
-                extra.add(k)
-            elif total >= due:
-                break
-            total += n
+        order = [k for _, k in sorted(ranks)]
+        while order and total + own[order[0]][1] <= due:
+            total += own[order[0]][1]
+            extra.add(order.pop(0))
+        off, _, last = min(((abs(own[k][1] - (due - total)), j, k) for j, k in enumerate(order)), default=(due - total, 0, 0))
+        if off < due - total:
+            extra.add(last)
         for k, (i, n, _) in enumerate(own):
             want[i, n, s] = want.get((i, n, s), 0) + n * (int(rate) + (k in extra))
     taken = {}

@@ -1,54 +1,54 @@
 """Exact Jaccard join of shingle sets, with an R-tree over count vectors, and the components of its links.
 
-1. A text's set is its distinct runs of words. Texts with equal sets form a class (a 64-bit hash of the set).
+1. A text's set is its distinct runs of words, as 64-bit hashes. Texts with equal sets form a class (two independent 64-bit
+   hashes of the set, and its size).
 2. Two sets over the threshold share a shingle among the first n - ceil(t n) + 1 of each, in any order common to all.
    The order puts the shingles that a bounded sample found common last; it decides the cost, never the result. Each such
-   shingle that two classes share is a cell; all others are dropped after a pre-aggregated count.
-3. Every member of a cell is held against two pivots of it. First one pivot of each member that its count vector allows is
-   verified, which joins most groups of near copies by as many pairs as they have members; then those that still lie in
-   different components. Links are merged into components.
-4. In cells that still hold several components, tokens are hashed into GROUPS groups; the counts by group are a member's
-   point. A packed R-tree over the points finds pairs of different components whose summed coordinate minima (from above:
-   the minima with a node's upper corner) allow the overlap needed. A first round takes NEAREST partners of a member, so
-   that large groups merge; the last takes all that are left, so that no link is missed. Cells of more than CELL members
-   are split into blocks, and pairs of blocks are searched.
-5. Candidate pairs are verified on the sets themselves.
+   shingle that two classes share is a cell; all others are dropped after a pre-aggregated count. Cells only route: they say
+   which classes meet in one index.
+3. Tokens are hashed into GROUPS groups; the counts by group are a class's point. Each cell's points go into a packed
+   R-tree, which finds the pairs whose summed coordinate minima (from above: the minima with a node's upper corner) allow
+   the overlap needed. Every candidate pair comes from this index.
+4. Large groups of near copies would give pairs by the square of their size, so the index is asked in rounds, each followed
+   by merging the verified links into components: first for the NEAREST partners of each class (the best one is verified
+   before the others), then for those NEAREST of other components, last for all of other components that the bound leaves,
+   so that no link is missed.
+5. Cells of more than CELL classes are indexed in blocks. In the first rounds a class meets its own block only. In the last
+   one blocks follow the components: a component that fills blocks has its own, which need not meet each other; small ones
+   share blocks, and these meet all others that their sizes allow.
+6. Candidate pairs are verified on the sets themselves.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumgrid.llm.bytehash import mix
-from vellumgrid.llm.common import materialize, retain, scratch
+from vellumgrid.llm.common import materialize, retain, scratch, trim_memory
 from vellumgrid.llm.components import connected_components
 from vellumgrid.llm.shingles import shingle_sets
 
 #: Hash groups of a count vector; entries of an R-tree node; members of a cell, or block of one, at most.
 GROUPS, FANOUT, CELL = 256, 16, 2048
-#: Counts are bytes; a set with a larger count has this one in every group, which stands for no bound at all.
+#: Counts are bytes; this one stands for itself and all above, and bounds nothing in its group.
 FULL = 255
-#: Partners of a member in the first round of cells.
+#: Partners of a member in all rounds but the last.
 NEAREST = 4
 #: Texts sampled for common shingles; shingles held as common, at most.
 SAMPLE, COMMON = 20_000, 200_000
 #: Cell members handed to one Python call, about.
 BUCKET = 20_000
-#: Bytes kept of each hash in the sets that are compared; within one pair of sets chance matches are out of question.
-KEPT = 5
 #: Ids that are broadcast to find their texts, at most; beyond that texts and ids are shuffled.
 BROADCAST = 200_000
-#: Texts whose sets are held at once.
+#: Texts, or pairs, whose sets are held at once.
 ROWS = 500
-#: Bits of a class number that hold the size of its set, in powers of SIZE_STEP.
-SIZE_BITS, SIZE_STEP = 10, 1.02
+_SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
 @dataclass(frozen=True)
@@ -65,18 +65,13 @@ class Threshold:
         return self.den * common >= self.num * (a + b - common)
 
 
-    def near(self, a: Column, b: Column) -> Column:
-        """Whether the sizes that two class numbers hold allow a link."""
-        steps = math.ceil(math.log(self.den / self.num) / math.log(SIZE_STEP)) + 1
-        size = lambda c: c.bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
-        return F.abs(size(a) - size(b)) <= steps
-
-
-def class_of(s: np.ndarray) -> int:
-    """A number for a set, signed: a hash, and in the last SIZE_BITS bits its size in steps of SIZE_STEP."""
-    total = int(mix(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64) ^ np.bitwise_xor.reduce(mix(s)))[0])
-    total = total >> SIZE_BITS << SIZE_BITS | min((1 << SIZE_BITS) - 1, int(math.log(len(s)) / math.log(SIZE_STEP)))
-    return total - (1 << 64) if total >> 63 else total
+def class_of(s: np.ndarray) -> tuple[int, int]:
+    """Two numbers for a set, as signed 64-bit integers."""
+    n = np.uint64(len(s))
+    mixed, other = mix(s), mix(s ^ _SECOND)
+    both = np.array([s.sum(dtype=np.uint64) ^ np.bitwise_xor.reduce(mixed), other.sum(dtype=np.uint64)], np.uint64) + n
+    a, b = mix(both).view(np.int64).tolist()
+    return a, b
 
 
 def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
@@ -85,11 +80,12 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
     picked = docs.where(F.pmod(F.xxhash64(F.lit(13), "id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(1, n))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in shingle_sets(batch.column(1), size):
-                yield pa.record_batch([pa.array(s.view(np.int64))], ["s"])
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            found, texts = np.unique(np.concatenate(list(shingle_sets(batch.column(1), size))), return_counts=True)
+            yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(texts)], ["s", "texts"])
 
-    found = picked.mapInArrow(run, "s bigint").groupBy("s").count().where("count > 1").orderBy(F.desc("count"), "s").limit(COMMON).select("s").toArrow()
+    counts = picked.mapInArrow(run, "s bigint, texts bigint").groupBy("s").agg(F.sum("texts").alias("texts")).where("texts > 1")
+    found = counts.orderBy(F.desc("texts"), "s").limit(COMMON).select("s").toArrow()
     return np.sort(found.column(0).to_numpy().view(np.uint64))
 
 
@@ -139,19 +135,42 @@ class RTree:
         return self.order[nodes[nodes < len(self.order)]]
 
 
-def cell_pairs(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, points: np.ndarray, t: Threshold, nearest: int | None, left: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
-    """Pairs of members of different components that the bound allows. left: of two blocks, the members of the first."""
+def cell_pairs(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, points: np.ndarray, t: Threshold, nearest: int | None, left: np.ndarray | None = None) -> Iterator[tuple[int, int, float]]:
+    """Pairs of members of different components that the bound allows, the smaller id first, and the bound by their sizes.
+    left: of two blocks, the members of the first."""
     tree = RTree(points, sizes)
     for i in range(len(ids)) if left is None else np.flatnonzero(left):
         at = tree.search(points[i], int(sizes[i]), t)
-        at = at[(comps[at] != comps[i]) & ((ids[at] > ids[i]) if left is None else ~left[at])]
+        every = nearest is None and left is None  # a pair is found from both ends
+        at = at[(comps[at] != comps[i]) & (True if left is None else ~left[at]) & ((ids[at] > ids[i]) if every else True)]
         bound = np.minimum(points[at], points[i]).sum(axis=1)
         fits = (t.num + t.den) * bound >= t.num * (sizes[i] + sizes[at])
-        at, bound = at[fits], bound[fits]
+        at, ratio = at[fits], bound[fits] / (sizes[at[fits]] + sizes[i])
         if nearest is not None and len(at) > nearest:
-            at = at[np.argsort(-(bound / (sizes[at] + sizes[i])), kind="stable")[:nearest]]
-        for j in at:
-            yield (int(ids[i]), int(ids[j])) if ids[i] < ids[j] else (int(ids[j]), int(ids[i]))
+            best = np.argsort(-ratio, kind="stable")[:nearest]
+            at, ratio = at[best], ratio[best]
+        for j, x in zip(at, ratio, strict=True):
+            yield (int(ids[i]), int(ids[j]), float(x)) if ids[i] < ids[j] else (int(ids[j]), int(ids[i]), float(x))
+
+
+def leaf_pairs(cells: np.ndarray, comps: np.ndarray, sizes: np.ndarray, counts: np.ndarray, t: Threshold, nearest: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """cell_pairs for all cells that are one leaf of equally many members: rows of both ends and the ratio. cells: rows by cell."""
+    n, m = cells.shape
+    ratio = np.full((n, m, m), -1.0)
+    for i in range(m):
+        for j in range(i + 1, m):
+            a, b = cells[:, i], cells[:, j]
+            least, both = np.minimum(counts[a], counts[b]), sizes[a] + sizes[b]
+            bound = np.where((least == FULL).any(axis=1), 1 << 40, least.sum(axis=1, dtype=np.int64))
+            fits = (comps[a] != comps[b]) & ((t.num + t.den) * bound >= t.num * both)
+            ratio[:, i, j] = ratio[:, j, i] = np.where(fits, bound / both, -1.0)
+    found = ratio > 0
+    if nearest is not None and m > nearest + 1:
+        best = np.zeros_like(found)
+        np.put_along_axis(best, np.argsort(-ratio, axis=2, kind="stable")[:, :, :nearest], True, axis=2)
+        found &= best | best.transpose(0, 2, 1)
+    which, i, j = np.nonzero(np.triu(found))
+    return cells[which, i], cells[which, j], ratio[which, i, j]
 
 
 def cell_join(t: Threshold, nearest: int | None):
@@ -160,14 +179,31 @@ def cell_join(t: Threshold, nearest: int | None):
     def run(rows: pa.Table) -> pa.Table:
         key, ids, comps = (np.asarray(rows.column(c)) for c in ("key", "cls", "comp"))
         sizes, side = np.asarray(rows.column("n")), np.asarray(rows.column("side"))
-        points = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8).reshape(len(ids), GROUPS).astype(np.int64)
-        points[(points == FULL).all(axis=1)] = 1 << 40
+        counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8).reshape(len(ids), GROUPS)
         order = np.argsort(key, kind="stable")
-        out: set[tuple[int, int]] = set()
-        for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-            two = len(part) and side[part].max() > 0
-            out.update(cell_pairs(ids[part], comps[part], sizes[part], points[part], t, nearest, side[part] == 0 if two else None) if not two or side[part].min() == 0 else ())
-        return pa.table([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
+        starts = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] - 1))
+        members = np.diff(starts, append=len(order))
+        ends: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        two = side.any()
+        for m in [] if two else [int(m) for m in np.unique(members) if 1 < m <= FANOUT]:
+            first = starts[members == m]
+            for k in range(0, len(first), max(1, 20_000 // m)):
+                ends.append(leaf_pairs(order[first[k : k + max(1, 20_000 // m), None] + np.arange(m)], comps, sizes, counts, t, nearest))
+        for a, m in zip(starts.tolist(), members.tolist(), strict=True):
+            part = order[a : a + m]
+            if (two and not side[part].min() and side[part].max()) or (not two and m > FANOUT):
+                points = counts[part].astype(np.int64)
+                points[points == FULL] = 1 << 40
+                found = list(cell_pairs(np.arange(m), comps[part], sizes[part], points, t, nearest, side[part] == 0 if two else None))
+                x, y, ratio = (np.array([f[i] for f in found], kind) for i, kind in enumerate((np.int64, np.int64, np.float64)))
+                ends.append((part[x], part[y], ratio))
+        x, y, ratio = (np.concatenate([e[i] for e in ends]) if ends else np.zeros(0, kind) for i, kind in enumerate((np.int64, np.int64, np.float64)))
+        low, high = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+        by = np.lexsort((high, low))
+        low, high, ratio = low[by], high[by], ratio[by]
+        new = np.ones(len(by), bool)
+        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        return pa.table([pa.array(low[new]), pa.array(high[new]), pa.array(ratio[new])], ["a", "b", "ratio"])
 
     return run
 
@@ -178,91 +214,94 @@ def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs.join(end("a"), "a", "left").join(end("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def residual_pairs(members: DataFrame, comps: DataFrame, sets: DataFrame, t: Threshold, nearest: int | None) -> DataFrame:
-    """Candidate pairs (a, b) from cells that hold more than one component."""
-    own = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).select("key", "cls", "comp")
-    # a cell of two members is done: its pivots were its only pair
-    open_cells = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi AND m > 2").select("key", "m")
-    rows = own.join(open_cells, "key").join(sets.select("cls", "n", "counts"), "cls").select("key", "cls", "comp", "n", "counts", "m")
-    rows = materialize(rows, "residual")
+def block_pairs(large: DataFrame, t: Threshold) -> DataFrame:
+    """Rows of large cells by pairs of blocks (i, j, side) that hold members of different components whose sizes allow a link."""
+    own = large.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    pooled = own.groupBy("key").agg(F.coalesce(F.sum(F.when(F.col("k") < CELL, F.col("k"))), F.lit(0)).alias("rest"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / CELL)).cast("int")
+    rows = large.join(own, ["key", "comp"]).join(pooled, "key").withColumn("c", F.when(F.col("k") >= CELL, F.col("comp")))
+    spread = F.when(F.col("c").isNull(), F.pmod(F.xxhash64(F.lit(17), "comp"), blocks(F.col("rest")))).otherwise(F.pmod(F.xxhash64(F.lit(17), "cls"), blocks(F.col("k"))))
+    rows = rows.withColumn("block", F.xxhash64("key", "c", F.coalesce("c", F.lit(0)) == 0, spread.cast("int"))).select("key", "cls", "comp", "n", "counts", "block", "c")
+    rows = materialize(rows, "blocks")
+    edges = rows.groupBy("key", "block").agg(F.max("c").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    end = lambda k: edges.select("key", F.col("block").alias(k), *[F.col(x).alias(f"{k}_{x}") for x in ("c", "lo", "hi")])
+    pairs = end("i").join(end("j"), "key").where("i <= j").where(~F.coalesce(F.col("i_c") == F.col("j_c"), F.lit(False)))
+    pairs = pairs.where((F.col("i_lo") * t.num <= F.col("j_hi") * t.den) & (F.col("j_lo") * t.num <= F.col("i_hi") * t.den)).select("key", "i", "j")
+    side = lambda k, x: pairs.where(f"{x} = 0 OR i <> j").join(rows.withColumnRenamed("block", k), ["key", k]).select("key", "cls", "comp", "n", "counts", "i", "j", F.lit(x).alias("side"))
+    return side("i", 0).unionByName(side("j", 1))
+
+
+def candidate_pairs(members: DataFrame, comps: DataFrame | None, classes: DataFrame, t: Threshold, nearest: int | None, salt: int) -> DataFrame:
+    """Pairs (a, b) with their bound (ratio) that the index finds in cells of more than one component; without comps every
+    class is one. With nearest, a class of a cell of several blocks meets its own block only."""
+    schema = "a bigint, b bigint, ratio double"
+    if comps is None:
+        own = members.withColumn("comp", F.col("cls"))
+    else:
+        own = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).select("key", "cls", "m", "comp")
+        # a cell of NEAREST members and one more was wholly searched in the first round
+        open_cells = own.where(F.col("m") > NEAREST + 1).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        own = own.join(open_cells, "key")
+    rows = materialize(own.join(classes.select("cls", "n", "counts"), "cls").select("key", "cls", "comp", "n", "counts", "m"), "rows")
     total = rows.count()
-    schema = "a bigint, b bigint"
     small = rows.where(F.col("m") <= CELL).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // BUCKET))))).withColumn("side", F.lit(0))
     pairs = small.groupBy("bucket").applyInArrow(cell_join(t, nearest), schema)
-    blocks = F.ceil(F.col("m") / CELL).cast("int")
-    large = rows.where(F.col("m") > CELL).withColumn("k", blocks).withColumn("x", F.pmod(F.xxhash64(F.lit(17), "cls"), F.col("k")).cast("int"))
-    grid = large.select("*", F.posexplode(F.sequence(F.lit(0), F.col("k") - 1)).alias("p", "y")).select("key", "cls", "comp", "n", "counts", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.when(F.col("x") <= F.col("y"), 0).otherwise(1).alias("side"))
-    pairs = pairs.unionByName(grid.groupBy("key", "i", "j").applyInArrow(cell_join(t, nearest), schema))
-    return pairs.distinct()
-
-
-def plausible(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs that their sizes and count vectors allow."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
-            ca, cb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, GROUPS) for i in (4, 5))
-            least = np.minimum(ca, cb)
-            bound = np.where((least == FULL).all(axis=1), np.minimum(na, nb), least.sum(axis=1, dtype=np.int64))
-            keep = pa.array(np.flatnonzero((t.num + t.den) * bound >= t.num * (na + nb)))
-            yield pa.record_batch([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
-
-    side = lambda k: sets.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}"))
-    fits = (F.col("na") * t.den >= F.col("nb") * t.num) & (F.col("nb") * t.den >= F.col("na") * t.num)
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b", "na", "nb", "ca", "cb")
-    return joined.mapInArrow(run, "a bigint, b bigint")
+    large = rows.where(F.col("m") > CELL)
+    if not large.isEmpty():
+        if nearest is None:
+            pairs = pairs.unionByName(block_pairs(large, t).groupBy("key", "i", "j").applyInArrow(cell_join(t, None), schema))
+        else:
+            block = F.pmod(F.xxhash64(F.lit(salt), "cls"), F.ceil(F.col("m") / CELL)).cast("int")
+            pairs = pairs.unionByName(large.withColumn("block", block).withColumn("side", F.lit(0)).groupBy("key", "block").applyInArrow(cell_join(t, nearest), schema))
+    return pairs.groupBy("a", "b").agg(F.max("ratio").alias("ratio"))
 
 
 def count_vector(s: np.ndarray) -> bytes:
     shift = np.uint64(65 - GROUPS.bit_length())
     counts = np.bincount((s >> shift).astype(np.int64), minlength=GROUPS)
-    return (counts if counts.max(initial=0) < FULL else np.full(GROUPS, FULL)).astype(np.uint8).tobytes()
+    return np.minimum(counts, FULL).astype(np.uint8).tobytes()
 
 
-def sets_of(classes: DataFrame, lite: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """cls, n and s (the packed set) of the classes (column cls)."""
-    ids = materialize(classes.join(lite, "cls").select(F.col("rep").alias("id")).distinct(), "ids")
+def sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """cls, n and s (the packed set) of the classes wanted (column cls), from the text of one document each."""
+    ids = materialize(wanted.join(classes, "cls").select(F.col("rep").alias("id"), "cls", "h1", "h2"), "ids")
+    n = ids.count()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s for s in shingle_sets(batch.column(0), size) if len(s)]
-            raw = [s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes() for s in sets]
-            yield pa.record_batch([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(raw, pa.binary())], ["cls", "n", "s"])
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            cls, h1, h2 = (batch.column(i).to_pylist() for i in range(1, 4))
+            # texts that share an id with the class's own are left out
+            found = [(c, s) for c, x, y, s in zip(cls, h1, h2, shingle_sets(batch.column(0), size), strict=True) if len(s) and class_of(s) == (x, y)]
+            yield pa.record_batch([pa.array([c for c, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], ["cls", "n", "s"])
+        trim_memory()
 
-    side = F.broadcast(ids) if ids.count() <= BROADCAST else ids
-    return materialize(docs.join(side, "id", "left_semi").select("text").mapInArrow(packed, "cls bigint, n bigint, s binary"), "sets")
+    side = F.broadcast(ids) if n <= BROADCAST else ids
+    sets = materialize(docs.join(side, "id").select("text", "cls", "h1", "h2").mapInArrow(packed, "cls bigint, n bigint, s binary"), "sets")
+    return sets if sets.count() == n else materialize(sets.dropDuplicates(["cls"]), "sets")  # rows of one id and text
 
 
-def verify(pairs: DataFrame, lite: DataFrame, docs: DataFrame, size: int, t: Threshold) -> DataFrame:
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, t: Threshold) -> DataFrame:
     """The pairs that are links."""
-    pairs = materialize(pairs, "pairs")
+    pairs = materialize(pairs.select("a", "b"), "pairs")
     if pairs.isEmpty():
         return pairs
-    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), lite, docs, size)
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), classes, docs, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            col = [batch.column(i).to_pylist() for i in range(2, 6)]
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             keep = []
-            for i, (na, nb, sa, sb) in enumerate(zip(*col, strict=True)):
-                both = np.concatenate([unpack(sa), unpack(sb)])
-                both.sort(kind="stable")
+            for i, (na, nb, sa, sb) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)):
+                both = np.concatenate([np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)])
+                both.sort(kind="stable")  # each side is distinct, so equal neighbours are of both
                 if t.linked(int((both[1:] == both[:-1]).sum()), na, nb):
                     keep.append(i)
             places = pa.array(keep, pa.int64())
             yield pa.record_batch([batch.column(0).take(places), batch.column(1).take(places)], ["a", "b"])
+        trim_memory()
 
     side = lambda k: sets.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("s").alias(f"s{k}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    links = materialize(joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint"), "links")
-    return links
-
-
-def unpack(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // KEPT, 8), np.uint8)
-    out[:, 8 - KEPT :] = np.frombuffer(packed, np.uint8).reshape(-1, KEPT)
-    return out.view(">u8").ravel().astype(np.uint64)
+    return materialize(joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint"), "links")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, t: Threshold = Threshold(80, 100), id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -280,38 +319,42 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: Threshold = Threshold(
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             sets = list(shingle_sets(batch.column(1), size))
-            cls = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
+            cls = [class_of(s) if len(s) else (None, None) for s in sets]
             counts = pa.array([count_vector(s) for s in sets], pa.binary())
             # sets that only equal sets can link to need no keys
             keys = [prefix_of(s, t, common) if t.den * len(s) >= t.num * (len(s) + 1) else s[:0] for s in sets]
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64()))
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), cls, counts, lists], ["id", "n", "cls", "counts", "keys"])
+            h1, h2 = (pa.array([c[k] for c in cls], pa.int64()) for k in range(2))
+            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), h1, h2, counts, lists], ["id", "n", "h1", "h2", "counts", "keys"])
+        trim_memory()
 
     with scratch(spark):
-        profile = materialize(docs.mapInArrow(profiles, f"id {ids}, n bigint, cls bigint, counts binary, keys array<bigint>"), "profile")
-        known = profile.where("cls IS NOT NULL AND id IS NOT NULL")
-        lite = known.groupBy("cls").agg(F.min(F.struct("id", "n", "counts")).alias("first"))
-        lite = materialize(lite.select("cls", F.col("first.id").alias("rep"), "first.n", "first.counts"), "classes")
+        profile = materialize(docs.mapInArrow(profiles, f"id {ids}, n bigint, h1 bigint, h2 bigint, counts binary, keys array<bigint>"), "profile")
+        known = profile.where("h1 IS NOT NULL AND id IS NOT NULL")
+        equal = known.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("counts").alias("counts"), F.first("keys").alias("keys"))
+        classes = materialize(equal.withColumn("cls", F.monotonically_increasing_id()), "classes")
         docs = docs.where("id IS NOT NULL")
-        exploded = known.select(F.explode("keys").alias("key"), "cls")
-        cells = materialize(exploded.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi"), "cells")
-        members = materialize(exploded.join(cells, "key").select("key", "cls", "lo", "hi").distinct(), "members")
-        pair = lambda p: members.where(t.near(F.col("cls"), F.col(p))).select(F.least("cls", p).alias("a"), F.greatest("cls", p).alias("b"))
-        pivots = materialize(plausible(pair("lo").unionByName(pair("hi")).where("a <> b").distinct(), lite, t), "pivots")
-        members = members.select("key", "cls")
-        links = verify(pivots.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), lite, docs, size, t)
-        comps = connected_components(links)
-        links = links.unionByName(verify(apart(pivots, comps), lite, docs, size, t))
-        for nearest in (NEAREST, None):
-            comps = materialize(connected_components(links), "components")
-            links = links.unionByName(verify(residual_pairs(members, comps, lite, t, nearest), lite, docs, size, t))
-        comps = connected_components(links).withColumnRenamed("node", "cls")
-        grouped = lite.join(comps, "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
+        exploded = classes.select(F.explode("keys").alias("key"), "cls")
+        cells = materialize(exploded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "cells")
+        members = materialize(exploded.join(cells, "key").select("key", "cls", "m"), "members")
+        near = materialize(candidate_pairs(members, None, classes, t, NEAREST, 0), "near")
+        best = near.groupBy("b").agg(F.max_by("a", F.struct("ratio", "a")).alias("a"))
+        links = verify(best, classes, docs, size, t)
+        comps = materialize(connected_components(links), "components")
+        rounds = [lambda c: apart(near, c).join(best, ["a", "b"], "left_anti")]
+        rounds += [lambda c, k=k, n=n: candidate_pairs(members, c, classes, t, n, k) for k, n in ((1, NEAREST), (2, None))]
+        for candidates in rounds:
+            found = verify(candidates(comps), classes, docs, size, t)
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                comps = materialize(connected_components(links), "components")
+        comps = comps.withColumnRenamed("node", "cls")
+        grouped = classes.join(comps, "cls", "left").select("h1", "h2", "n", "rep", F.coalesce("component", "cls").alias("component"))
         grouped = materialize(grouped, "grouped")
         least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
-        named = retain(materialize(grouped.join(least, "component").select("cls", F.col("rep").alias("class_id"), "component_id"), "named"))
-        narrow = retain(materialize(profile.select("id", "n", "cls"), "narrow"))
-    some = narrow.where("cls IS NOT NULL AND id IS NOT NULL").join(named, "cls").select("id", "n", "class_id", "component_id")
-    none = narrow.where("cls IS NULL OR id IS NULL").select("id", "n", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
+        named = retain(materialize(grouped.join(least, "component").select("h1", "h2", "n", F.col("rep").alias("class_id"), "component_id"), "named"))
+        narrow = retain(materialize(profile.select("id", "n", "h1", "h2"), "narrow"))
+    some = narrow.where("h1 IS NOT NULL AND id IS NOT NULL").join(named, ["h1", "h2", "n"]).select("id", "n", "class_id", "component_id")
+    none = narrow.where("h1 IS NULL OR id IS NULL").select("id", "n", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
     return some.unionByName(none).withColumnRenamed("n", "n_shingles").withColumnRenamed("id", id_col)
