@@ -4,8 +4,9 @@ A source of `source_size` words that is due `target` words has the rate target /
 taken floor(rate) times for certain; the remaining words come from one more copy of some documents. A document's inclusion
 probability p is in proportion to its size, 1 at most, such that the words expected are those due; c in p = min(1, c * size)
 follows from the source's counts by size. Documents of probability 1 are certain too. The others are ranked by
-(u / (1 - u)) / (p / (1 - p)), with u a hash of the document, and taken in this order until the words due are reached as
-nearly as one document allows.
+(u / (1 - u)) / (p / (1 - p)), with u a hash of the document, and taken in this order as long as they don't pass the words
+due. What is missing then comes from one more document, the one of those left whose size is nearest to it (the first by
+rank on a tie), if that brings the source nearer to its target: targets are met closely even where documents are large.
 
 No source is sorted as a whole: words are summed by source and rank bucket, and the bucket in which the sum crosses what
 is due is found in that small table, BUCKETS rows a source; then once more over the finer buckets within it. Only the
@@ -102,13 +103,23 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int =
         ranked = ranked.withColumn("coarse", bucket_of(F.col("rank"), BUCKETS)).withColumn("bucket", bucket_of(F.col("rank"), BUCKETS * BUCKETS))
         first = crossing_bucket(ranked.where("p > 0"), "coarse")
         crossing = retain(crossing_bucket(ranked.drop("start").join(first.withColumnRenamed("before", "start"), same & (F.col("coarse") == F.col("c_bucket"))), "bucket"))
-    placed = ranked.join(crossing, same, "left")
+        key = F.struct("rank", "id", "size", "h")
+        order = Window.partitionBy("source", "bucket").orderBy("rank", "id", "size", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = ranked.join(crossing, same, "left")
+        edge = F.coalesce(F.col("bucket") == F.col("c_bucket"), F.lit(False))
+        summed = placed.where(edge).withColumn("sum", F.col("before") + F.sum("size").over(order))
+        fits = F.col("sum") <= F.col("due")
+        reached = summed.groupBy("c_source").agg((F.max("due") - F.greatest(F.max("before"), F.coalesce(F.max(F.when(fits, F.col("sum"))), F.lit(0.0)))).alias("missing"), F.max(F.when(fits, key)).alias("last"))
+        reached = materialize(reached, "reached")
+        later = placed.drop("c_source").join(reached, same).where((F.col("bucket") > F.col("c_bucket")) | (edge & F.coalesce(key > F.col("last"), F.lit(True))))
+        nearest = later.groupBy("c_source", "missing").agg(F.min(F.struct(F.abs(F.col("size") - F.col("missing")).alias("off"), *[F.col(c) for c in ("rank", "id", "size", "h")])).alias("x"))
+        closing = retain(materialize(nearest.where("x.off < missing").select("c_source", F.struct("x.rank", "x.id", "x.size", "x.h").alias("closing")), "closing"))
+    placed = placed.drop("c_source").join(closing, same, "left").drop("c_source")
     inside = F.coalesce(F.col("bucket") < F.col("c_bucket"), F.lit(False))
-    edge = F.coalesce(F.col("bucket") == F.col("c_bucket"), F.lit(False))
-    order = Window.partitionBy("source", "bucket").orderBy("rank", "id", "size", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.coalesce(key.eqNullSafe(F.col("closing")), F.lit(False))  # of repeated rows one closes
     out = lambda df, extra: df.select("id", "source", *[f"keep_{c}" for c in keep], "size", "source_size", "target", (F.col("whole") + extra.cast("int")).alias("copies"))
-    at_edge = placed.where(edge).withColumn("sum", F.col("before") + F.sum("size").over(order))
-    nearer = (F.col("sum") <= F.col("due")) | ((F.col("sum") - F.col("size") < F.col("due")) & (F.col("sum") - F.col("due") <= F.col("due") - (F.col("sum") - F.col("size"))))
-    done = out(placed.where(~edge), inside).unionByName(out(at_edge, nearer))
+    nth = F.row_number().over(Window.partitionBy("source", "rank", "id", "size", "h").orderBy("bucket"))
+    at_edge = placed.where(edge | last).withColumn("sum", F.col("before") + F.sum("size").over(order)).withColumn("nth", nth)
+    done = out(placed.where(~(edge | last)), inside).unionByName(out(at_edge, (edge & fits) | (last & (F.col("nth") == 1))))
     named = [F.col("id").alias(id_col), F.col("source").alias(source) if source in keep else None, *[F.col(f"keep_{c}").alias(c) for c in keep if c not in (id_col, source)]]
     return done.select(*[c for c in named if c is not None], "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
