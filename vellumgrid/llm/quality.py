@@ -78,7 +78,9 @@ def base_counts(df: DataFrame) -> DataFrame:
     df = df.withColumn("_h", F.expr("CASE WHEN size(_w) < 3 THEN CAST(array() AS array<bigint>) ELSE transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) END"))
     for stage in repeat_words("n_words", "_h"):
         df = df.withColumns({k: F.expr(v) for k, v in stage.items()})
-    return df.drop("_h", "_s", "_p", "_l")
+    # no filter is pushed below a generator: the stages would be put into each other, and evaluated for every element
+    df = df.withColumn("_b", F.explode(F.array(F.struct("n_words", "n_repeat_words"))))
+    return df.withColumns({"n_words": F.col("_b.n_words"), "n_repeat_words": F.col("_b.n_repeat_words")}).drop("_h", "_s", "_p", "_l", "_b")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
