@@ -3,11 +3,13 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import documents
+from vellumgrid.llm import bpe_codec
 from vellumgrid.llm.bpe_codec import encode_documents
 from vellumgrid.llm.token_counts import count_tokens
 
@@ -45,3 +47,13 @@ def test_codec_equals_the_library(docs):
         assert got[i].ids == ids and got[i].decoded == decoded and got[i].n_tokens == len(ids), repr(t)[:80]
         assert got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and got[i].decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
     assert encode_documents(docs.where("doc_id < 0"), path).count() == 0
+    with pytest.raises(ValueError, match="word vocabulary"):
+        encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_parts_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe_codec, "HELD_BYTES", 100)
+    texts = ["a" * n for n in (10, 10, 500, 0, 99, 1, 1)] + [None] * 3
+    parts = list(bpe_codec.parts_of(pa.record_batch([pa.array(range(10)), pa.array(texts)], ["id", "text"])))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts and max(p.num_rows for p in parts) < 10
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 100 for p in parts)

@@ -14,6 +14,7 @@ the vocabulary's normalisation is lower case alone) and it holds no special stri
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,17 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumgrid.llm.bytehash import BLANK, buffer_of, prefix_sums, span_hashes
+from vellumgrid.llm.common import trim_memory
 
 WINDOW, CUT_BITS, CACHE_BYTES = 16, 8, 24 << 20
 #: Bytes of text that are hashed at once, unless one text is longer.
-BLOCK = 1 << 20
-#: Texts whose results are held at once.
-ROWS = 500
+BLOCK = (1 << 18) - 1
+#: Texts whose results are held at once, and bytes of theirs after which no further text is added.
+ROWS, HELD_BYTES = 500, 4 << 20
 #: Words remembered by a worker, and the length of the longest of these. The first ones stay, as these are the common ones;
 #: a full cache starts anew after it has missed four times its size.
 WORDS, WORD_BYTES = 200_000, 48
 #: Pre-tokenizer pattern of the vocabulary; blanks are dropped.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: What needs the library: a character from U+0240 on, U+0130 (two characters in lower case).
 FOREIGN = regex.compile("[\u0130\u0240-\U0010ffff]")
 Piece = tuple[int, bytes, bytes]
@@ -58,6 +60,19 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([offsets, before, after]))
 
 
+def check_vocabulary(path: str) -> None:
+    """Refuses a file for which a word's encoding could depend on what is beyond its blanks, or decoding does more than join."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    steps = (file["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split = bool(steps) and steps[0]["type"] == "Split" and steps[0]["pattern"] == {"Regex": PATTERN} and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
+    bytewise = len(steps) == 2 and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+    normal = [n["type"] for n in (file["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+    special = all(not a["normalized"] and not a["lstrip"] and not a["rstrip"] and not a["single_word"] and not regex.search(r"\s", a["content"]) for a in file["added_tokens"])
+    if not (split and bytewise and normal and special and file["decoder"] is None and file["post_processor"] is None):
+        raise ValueError(f"{path}: a lower-casing word vocabulary without decoder is needed")
+
+
 class Codec:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -153,16 +168,28 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of ROWS texts, or of HELD_BYTES and one text, at most."""
+    _, offsets = buffer_of(batch.column(1))
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + HELD_BYTES, "right")) - 1)
+        end = min(end, begin + ROWS, batch.num_rows)
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", full: bool = False) -> DataFrame:
     """One row a row of docs: id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit numbers) and decoded_sha256
     (decoded text in UTF-8); with full also the ids (array of int) and the decoded text. path: a tokenizers .json file
-    without decoder (tokens decode to themselves, joined by blanks) that every executor has.
+    without decoder (tokens decode to themselves, joined by blanks) that driver and executors have; a file of another kind
+    is refused.
 
     Null and empty texts have no tokens. Repeated rows and null ids stay; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+        for batch in (part for b in batches for part in parts_of(b)):
             made = list(c.encode(batch.column(1)))
             sha = lambda i: pa.array([hashlib.sha256(m[i]).hexdigest() for m in made], pa.string())  # noqa: E731, B023
             columns = [batch.column(0), pa.array([m[0] for m in made], pa.int64()), sha(1), sha(2)]
@@ -171,7 +198,9 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text: s
                 columns += [pa.array([np.frombuffer(m[1], "<u4").astype(np.int32) for m in made], pa.list_(pa.int32())), pa.array([m[2].decode("utf-8") for m in made], pa.string())]
                 names += ["ids", "decoded"]
             yield pa.record_batch(columns, names)
+        trim_memory()
 
+    check_vocabulary(path)
     ids = docs.schema[id_col].dataType.simpleString()
     schema = f"id {ids}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
     made = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)

@@ -49,6 +49,11 @@ def shared_dir(spark: SparkSession) -> str:
 _scopes = threading.local()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that materialize() writes inside go when the block ends, but for those given to retain()."""
@@ -57,10 +62,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path in stack.pop():
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            delete(spark, path)
 
 
 def retain(table: DataFrame) -> DataFrame:
@@ -84,6 +87,12 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes a table that materialize() wrote and nothing reads any more."""
+    if path := getattr(table, "_own_path", None):
+        delete(table.sparkSession, path)
+
+
 def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: later stages survive lost executors and don't repeat the
     work; the statement's shuffle files go. rows: at most so many are written, and so few files do; null: unknown.

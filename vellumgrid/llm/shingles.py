@@ -10,7 +10,7 @@ import pyarrow as pa
 from vellumgrid.llm.bytehash import BLANK, buffer_of, mix, prefix_sums, span_hashes
 
 #: Bytes of text hashed at once, unless one text is longer.
-BLOCK = 1 << 20
+BLOCK = (1 << 18) - 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

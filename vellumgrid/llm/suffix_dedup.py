@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumgrid.llm.bytehash import buffer_of, prefix_sums, span_hashes
-from vellumgrid.llm.common import materialize, retain, scratch
+from vellumgrid.llm.common import materialize, retain, scratch, trim_memory
 from vellumgrid.llm.suffix_sort import common_prefixes, sort_suffixes, words8
 
 #: Bytes of an anchor; contexts of an anchor that are gathered, at most; contexts in a shard, about.
 ANCHOR, HOT, SHARD = 24, 4096, 12_000
+#: Texts whose bytes are cut at once.
+ROWS = 500
 #: Bytes of text hashed at once, unless one text is longer.
-BLOCK = 1 << 20
+BLOCK = (1 << 18) - 1
 
 
 def part_bits(length: int) -> int:
@@ -150,6 +152,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                             place = (((lo - offsets[doc]) << part | (hi - lo)) << part) | (at - lo)
                             columns += [pa.array(ids[begin:end][doc]), pa.array(place)]
                         yield pa.record_batch(columns, ["anchor", "context", "id", "place"][: len(columns)])
+                trim_memory()
 
             return own.mapInArrow(run, "anchor bigint, context bigint" + ", id bigint, place bigint" * full)
 
@@ -168,7 +171,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mask = (1 << part) - 1
-            for batch in batches:
+            for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
                 out: list[list] = [[], [], [], [], [], []]
                 for i, t, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     raw = t.encode("utf-8")
@@ -207,7 +210,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     by_doc = spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             out: list[list] = [[], [], [], [], []]
             for t, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = (t or "").encode("utf-8")
@@ -229,6 +232,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                     x.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.record_batch([batch.column(0), batch.column(3), *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]], ["id", "row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        trim_memory()
 
     joined = whole.join(by_doc, "id", "left").select("id", "text", "spans", "row")
     row = joined.schema["row"].dataType.simpleString()

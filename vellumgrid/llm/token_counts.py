@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumgrid.llm.common import trim_memory
+
 #: Pieces remembered by a worker, and bytes of the longest of these.
 CACHE, CACHED_BYTES = 400_000, 64
 #: Byte-level pre-tokenizer: contractions, letters, numbers, other signs (each with a blank before), blanks.
@@ -126,6 +128,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
             texts = [t or "" for t in batch.column(1).to_pylist()]
             tokens = [count(t) for t in texts]
             yield pa.record_batch([batch.column(0), pa.array([len(t.encode("utf-8")) for t in texts], pa.int64()), pa.array(tokens, pa.int64())], ["id", "n_bytes", "n_tokens"])
+        trim_memory()
 
     ids = docs.schema[id_col].dataType.simpleString()
     made = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {ids}, n_bytes bigint, n_tokens bigint")
