@@ -6,13 +6,12 @@ docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumgrid.llm.bpe_codec import encode_documents
-from vellumgrid.llm.common import materialize, read_table
+from vellumgrid.llm.common import discard, materialize, read_table, retain, scratch
 from vellumgrid.llm.mixing import mix_sources
 from vellumgrid.llm.ngram_join import Threshold, jaccard_components
 from vellumgrid.llm.quality import quality_rules
@@ -66,7 +65,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's table, which stays; the others, and what operators leave, go once the next stage is written."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        with scratch(spark):
+            made = retain(materialize(stage(spark, docs, sf_dir), name.replace(" ", "_")))
+        discard(docs)
+        docs = made
     return docs
