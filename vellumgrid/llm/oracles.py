@@ -77,9 +77,9 @@ ref AS (SELECT lang, list(cn ORDER BY i) AS cr, any_value(wr) AS wr FROM (
           SELECT lang, i, sum(cc[i]) / sum(chars) AS cn FROM f, range(1, {len(CLASSES) + 3}) r(i) WHERE lang IN (SELECT lang FROM langs) GROUP BY lang, i) x
         JOIN (SELECT lang AS wl, list(wn ORDER BY i) AS wr FROM (SELECT lang, i, sum(wc[i]) / sum(n_words) AS wn FROM f, range(1, (SELECT count(*) FROM slots) + 2) r(i) WHERE lang IN (SELECT lang FROM langs) GROUP BY lang, i) GROUP BY lang) y ON x.lang = y.wl GROUP BY lang),
 pq AS (SELECT *, list_transform(cc, lambda x: CASE WHEN chars > 0 THEN x / chars ELSE 0 END) AS p, list_transform(wc, lambda x: CASE WHEN n_words > 0 THEN x / n_words ELSE 0 END) AS q FROM f),
-dist AS (SELECT pz.rid, min({jsd('p', 'cr')}) AS cd, min({jsd('q', 'wr')} / nullif({jsd('none', 'wr')}, 0)) AS ratio FROM (SELECT *, list_transform(q, lambda x, i: CASE WHEN i = len(q) THEN 1.0 ELSE 0.0 END) AS none FROM pq) pz JOIN ref ON pz.lang = ref.lang OR pz.lang IS NULL GROUP BY pz.rid)
+dist AS (SELECT pz.rid, min({jsd('p', 'cr')}) AS cd, min(CASE WHEN n_words * (1 - wr[len(wr)]) >= {limits.guard_common} THEN {jsd('q', 'wr')} / nullif({jsd('none', 'wr')}, 0) END) AS ratio FROM (SELECT *, list_transform(q, lambda x, i: CASE WHEN i = len(q) THEN 1.0 ELSE 0.0 END) AS none FROM pq) pz JOIN ref ON pz.lang = ref.lang OR pz.lang IS NULL GROUP BY pz.rid)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
        (n_words < {limits.least_words} OR 100 * n_repeat_words > {limits.most_repeat_percent} * n_words) AS base_failed,
        NOT (n_words < {limits.least_words} OR 100 * n_repeat_words > {limits.most_repeat_percent} * n_words)
-         AND NOT coalesce(chars >= {limits.guard_chars} AND cd > {limits.char_distance}, false) AND NOT coalesce(n_words >= {limits.guard_words} AND ratio > {limits.word_ratio}, false) AS kept
+         AND NOT coalesce(chars >= {limits.guard_chars} AND cd > {limits.char_distance}, false) AND NOT coalesce(ratio > {limits.word_ratio}, false) AS kept
 FROM pq LEFT JOIN dist USING (rid)"""

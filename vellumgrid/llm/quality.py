@@ -5,8 +5,8 @@ languages (one more bin takes the rest). The same histograms summed over all tex
 references. A text is rejected if it fails a base rule, if the Jensen-Shannon distance of its character histogram from its
 language's is above a limit, or if that of its words is: the limit for words is a share of the distance that a text without
 any common word has from the reference (so word salad, and a text in another language, is above it, however large or small
-the share of common words in the language is). Short texts have noisy histograms: a histogram with fewer than the guard's
-characters or words rejects nothing. Every language with LEAST_TEXTS texts or more has references; texts of a language with
+the share of common words in the language is). Short texts have noisy histograms: one with fewer than the guard's characters,
+or of a length at which the language has fewer than the guard's common words, rejects nothing. Every language with LEAST_TEXTS texts or more has references; texts of a language with
 fewer are judged by the base rules only. A text without a language is held against every reference and judged by the
 nearest; without any reference only the base rules judge.
 
@@ -46,7 +46,8 @@ class Limits:
     #: Share of the distance that a text without common words has.
     word_ratio: float = 0.80
     guard_chars: int = 200
-    guard_words: int = 75
+    #: Common words that a text of its length has by the reference, at least.
+    guard_common: float = 13.0
 
 
 def repeat_words(n: str, h: str) -> list[dict[str, str]]:
@@ -190,14 +191,14 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", limit
     judged = judged.withColumn("_q", F.transform("_common", lambda x: F.struct(x["slot"].alias("slot"), F.when(total > 0, x["n"] / total).otherwise(F.lit(0.0)).alias("share"))))
     # one reference a language: a row for each distinct value of lang that is common enough
     judged = judged.join(F.broadcast(refs), F.col("_lang").eqNullSafe(F.col("lang")), "left")
-    chars, enough = F.col("_n") >= limits.guard_chars, F.col("n_words") >= limits.guard_words
+    chars = F.col("_n") >= limits.guard_chars
     by_char = lambda r: js_distance(F.col("_p"), r["c"])
-    by_word = lambda r: sparse_js_distance(F.col("_q"), r["w"])
+    by_word = lambda r: F.when(total * (1 - F.element_at(r["w"], -1)) >= limits.guard_common, sparse_js_distance(F.col("_q"), r["w"]))
     own_ref = F.struct("c", "w", "far")
     judged = judged.withColumn("char_distance", F.when(chars, F.when(F.col("_lang").isNull(), F.array_min(F.transform("every", by_char))).when(F.col("c").isNotNull(), by_char(own_ref))))
-    judged = judged.withColumn("word_distance", F.when(enough, F.when(F.col("_lang").isNull(), F.array_min(F.transform("every", by_word))).when(F.col("w").isNotNull(), by_word(own_ref))))
+    judged = judged.withColumn("word_distance", F.when(F.col("_lang").isNull(), F.array_min(F.transform("every", by_word))).when(F.col("w").isNotNull(), by_word(own_ref)))
     ratio = F.when(F.col("_lang").isNull(), F.array_min(F.transform("every", lambda r: by_word(r) / r["far"]))).otherwise(F.col("word_distance") / F.col("far"))
-    judged = judged.withColumn("word_ratio", F.when(enough, ratio))
+    judged = judged.withColumn("word_ratio", ratio)
     failed = (F.col("n_words") < limits.least_words) | (100 * F.col("n_repeat_words") > limits.most_repeat_percent * F.col("n_words"))
     far = F.coalesce(F.col("char_distance") > limits.char_distance, F.lit(False)) | F.coalesce(F.col("word_ratio") > limits.word_ratio, F.lit(False))
     judged = judged.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
