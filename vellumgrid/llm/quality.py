@@ -22,13 +22,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumgrid.llm.common import WS_CHARS, materialize, retain, scratch, words
+from vellumgrid.llm.common import WS, WS_CHARS, materialize, retain, scratch, words
 
 #: Common words taken from each language, of this length at most; texts that a language with references has, at least.
 COMMON, WORD_LENGTH, LEAST_TEXTS = 12, 4, 20
-#: Character classes; what is in none of them is the last bin.
+#: Character classes, none of which shares a character with another; what is in none of them is the last bin.
 CLASSES = (r"\p{Ll}+", r"\p{Lu}+", r"\p{Nd}+", r"[#*$%&|<>]+")
 CHAR_BINS = len(CLASSES) + 2
+#: Bins of the symbols and of the blanks.
+SYMBOLS, BLANKS = 3, 4
 #: A common word's slot in a text is written as one character from here on.
 SLOT = 0x4E00
 
@@ -65,15 +67,14 @@ def repeat_words(n: str, h: str) -> list[dict[str, str]]:
 
 
 def split_words(df: DataFrame) -> DataFrame:
-    """Adds _t (the text, never null), _w (its words) and word_chars."""
-    df = df.withColumn("_w", words(F.col("_text"))).withColumn("_t", F.coalesce(F.col("_text"), F.lit("")))
-    return df.withColumn("word_chars", F.length(F.array_join("_w", "")).cast("bigint"))
+    """Adds _t (the text, never null) and _w (its words)."""
+    return df.withColumn("_w", words(F.col("_text"))).withColumn("_t", F.coalesce(F.col("_text"), F.lit("")))
 
 
 def base_counts(df: DataFrame) -> DataFrame:
-    """Adds n_words, n_symbols, n_dup_lines and n_repeat_words to what split_words adds."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words to what split_words and char_classes add."""
     df = df.withColumn("n_words", F.size("_w").cast("bigint"))
-    df = df.withColumn("n_symbols", (F.length("_t") - F.length(F.regexp_replace("_t", "[#*$%&|<>]+", ""))).cast("bigint"))
+    df = df.withColumn("word_chars", (F.length("_t") - F.col("_chars")[BLANKS]).cast("bigint")).withColumn("n_symbols", F.col("_chars")[SYMBOLS].cast("bigint"))
     df = df.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(WS_CHARS)) != ""))
     df = df.withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint"))
     df = df.withColumn("_h", F.expr("CASE WHEN size(_w) < 3 THEN CAST(array() AS array<bigint>) ELSE transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) END"))
@@ -122,10 +123,14 @@ def references(counts: DataFrame, totals: DataFrame, common: list[str]) -> DataF
 
 
 def char_classes(df: DataFrame) -> DataFrame:
-    """Adds _chars, the number of characters by class. Needs what split_words adds."""
-    classes = [F.length("_t") - F.length(F.regexp_replace("_t", c, "")) for c in CLASSES]
-    df = df.withColumn("_c", F.array(*classes, F.length("_t") - F.col("word_chars").cast("int")))
-    return df.withColumn("_chars", F.concat("_c", F.array(F.length("_t") - F.aggregate("_c", F.lit(0), lambda a, x: a + x)))).drop("_c")
+    """Adds _chars, the number of characters by class. Needs what split_words adds.
+
+    Each class is taken out of what the ones before it left: all but the first read a small part of the text."""
+    rest = ["_t", *[f"_rest{i}" for i in range(len(CLASSES) + 1)]]
+    for i, c in enumerate((*CLASSES, WS)):
+        df = df.withColumn(rest[i + 1], F.regexp_replace(rest[i], c, ""))
+    counts = [F.length(a) - F.length(b) for a, b in zip(rest[:-1], rest[1:], strict=True)]
+    return df.withColumn("_chars", F.array(*counts, F.length(rest[-1]))).drop(*rest[1:])
 
 
 def common_slots(df: DataFrame, common: list[str]) -> DataFrame:
@@ -185,7 +190,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", limit
         totals = materialize(language_totals(own), "totals", rows=1)
         common = common_words(counts, totals)
         refs = retain(materialize(references(counts, totals, common), "references", rows=1))
-    judged = common_slots(char_classes(base_counts(split_words(own))), common)
+    judged = common_slots(base_counts(char_classes(split_words(own))), common)
     total = F.col("n_words").cast("double")
     judged = judged.withColumn("_n", F.aggregate("_chars", F.lit(0).cast("bigint"), lambda a, x: a + x)).withColumn("_p", shares(F.col("_chars")))
     judged = judged.withColumn("_q", F.transform("_common", lambda x: F.struct(x["slot"].alias("slot"), F.when(total > 0, x["n"] / total).otherwise(F.lit(0.0)).alias("share"))))
