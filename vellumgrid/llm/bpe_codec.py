@@ -16,6 +16,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,10 +42,24 @@ WORDS, WORD_BYTES = 200_000, 48
 #: Pre-tokenizer pattern of the vocabulary; blanks are dropped.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: What needs the library: a character from U+0240 on, U+0130 (two characters in lower case).
-FOREIGN = regex.compile("[\u0130\u0240-\U0010ffff]")
+FOREIGN = re.compile("[\u0130\u0240-\U0010ffff]")
+#: All characters of the lower case of any other text.
+PLAIN = sorted({c for i in range(0x240) if i != 0x130 for c in chr(i).lower()})
 Piece = tuple[int, bytes, bytes]
 
 
+def members(kind: str) -> str:
+    """The characters of PLAIN that a class of PATTERN has, as the inside of a set."""
+    return "".join(re.escape(c) for c in PLAIN if regex.fullmatch(kind, c))
+
+
+def plain_words() -> re.Pattern[str]:
+    """PATTERN for texts of PLAIN alone: the same words, by sets of characters in place of properties. No letter begins a
+    suffix, so letters, the most usual case, come first."""
+    letter, number, blank = members(r"\p{L}"), members(r"\p{N}"), members(r"\s")
+    return re.compile(f"[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d|[{number}]|[^{blank}{letter}{number}]+")
+
+
 def pieces_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Places, in order, at which the texts fall into chunks' own parts and joins; the ends of texts are among them."""
     sums = prefix_sums(data)
@@ -60,6 +77,14 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([offsets, before, after]))
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
+
+
 def check_vocabulary(path: str) -> None:
     """Refuses a file for which a word's encoding could depend on what is beyond its blanks, or decoding does more than join."""
     with open(path, encoding="utf-8") as f:
@@ -83,10 +108,10 @@ class Codec:
         self.tokenizer.no_padding()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = [self.tokenizer.id_to_token(i) for i in self.tokenizer.get_added_tokens_decoder()]
-        self.find = regex.compile(PATTERN).findall
-        self.words: dict[str, Piece] = {}
+        self.find = plain_words().findall
+        self.words: dict[str, tuple[bytes, bytes]] = {}
         self.missed = 0
-        self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.tokens = [(self.tokenizer.id_to_token(i) or "").encode("utf-8") for i in range(size)]
         self.new: dict[bytes, Piece] = {}
         self.old: dict[bytes, Piece] = {}
         self.held = 0
@@ -113,7 +138,7 @@ class Codec:
     def library(self, texts: list[str]) -> Iterator[Piece]:
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             ids = e.ids
-            yield len(ids), np.array(ids, "<u4").tobytes(), " ".join([self.tokens[i] for i in ids]).encode("utf-8")
+            yield len(ids), packed(ids), b" ".join([self.tokens[i] for i in ids])
 
     def encode_new(self, texts: list[str]) -> list[Piece]:
         plain = [not FOREIGN.search(t) and not any(s in t for s in self.special) for t in texts]
@@ -123,13 +148,14 @@ class Codec:
         if self.missed > 4 * WORDS:
             known.clear()
             self.missed = 0
-        new = list({w for ws in found if ws for w in ws if w not in known})
-        known.update(zip(new, self.library(new), strict=True))
+        new = list(set().union(*[ws for ws in found if ws]).difference(known))
+        known.update(zip(new, [p[1:] for p in self.library(new)], strict=True))
         out = []
         for ws in found:
             if ws:
-                sizes, ids, decoded = zip(*map(known.__getitem__, ws), strict=True)
-                out.append((sum(sizes), b"".join(ids), b" ".join(decoded)))
+                parts = list(map(known.__getitem__, ws))
+                ids = b"".join([p[0] for p in parts])
+                out.append((len(ids) // 4, ids, b" ".join([p[1] for p in parts if p[0]])))
             else:
                 out.append((0, b"", b"") if ws is not None else next(whole))
         for w in new:  # what is too long, or more than the cache holds, goes again
