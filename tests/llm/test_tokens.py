@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -13,7 +14,7 @@ from vellumgrid.llm import bpe_codec
 from vellumgrid.llm.bpe_codec import encode_documents
 from vellumgrid.llm.token_counts import count_tokens
 
-PIECES = [*"abc  \n\t\x1c\x1f\x85᠎​  　éßñÉÀİΣς中文字अकि१Ⅷ²½🙂👩‍👧'sdtm.,!?<|endoftext|>\x0b\x0c\x00̧́", "<|endoftext|>", "<|startoftext|>", "'re", "'ll", "  ", "hello", "world"]
+PIECES = [*"ȺȾȿabc  \n\t\x1c\x1f\x85᠎​  　éßñÉÀİΣς中文字अकि१Ⅷ²½🙂👩‍👧'sdtm.,!?<|endoftext|>\x0b\x0c\x00̧́", "<|endoftext|>", "<|startoftext|>", "'re", "'ll", "  ", "hello", "world"]
 
 
 def texts():
@@ -51,6 +52,17 @@ def test_codec_equals_the_library(docs):
         encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def test_plain_words_are_those_of_the_pattern():
+    plain, pattern = bpe_codec.plain_words(), regex.compile(bpe_codec.PATTERN)
+    rng = random.Random(2)
+    kinds = [*bpe_codec.PLAIN, *"'sredvmlt 0²½\n"] + list("'sredvmlt") * 20
+    for c in bpe_codec.PLAIN:
+        assert plain.findall(f"a{c}'ll{c}{c}") == pattern.findall(f"a{c}'ll{c}{c}"), repr(c)
+    for _ in range(500):
+        text = "".join(rng.choice(kinds) for _ in range(rng.randrange(200)))
+        assert plain.findall(text) == pattern.findall(text), repr(text)
+
+
 def test_parts_are_bounded_by_bytes(monkeypatch):
     monkeypatch.setattr(bpe_codec, "HELD_BYTES", 100)
     texts = ["a" * n for n in (10, 10, 500, 0, 99, 1, 1)] + [None] * 3
