@@ -49,6 +49,39 @@ def test_large_cells_go_through_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == components(texts, 3, 90, 100)
 
 
+def test_near_copies_meet_once_however_many_shingles_they_share(spark, monkeypatch):
+    made, join, whole = [], ngram_join.cell_join, ngram_join.candidate_pairs
+    monkeypatch.setattr(ngram_join, "BUCKET", 4)  # pairs are not deduplicated by chance of one bucket
+    count = spark.sparkContext.accumulator(0)
+
+    def counted(*args):
+        run = join(*args)
+
+        def wrapped(rows):
+            out = run(rows)
+            count.add(out.num_rows)
+            return out
+
+        return wrapped
+
+    def first(members, comps, *rest):
+        if comps is None:
+            made.append(members.count())
+        return whole(members, comps, *rest)
+
+    monkeypatch.setattr(ngram_join, "cell_join", counted)
+    monkeypatch.setattr(ngram_join, "candidate_pairs", first)
+    rng = random.Random(9)
+    texts = {}
+    for k in range(20):
+        words = [f"t{k}w{i}" for i in range(200)]
+        texts |= {3 * k + j: " ".join([*words[: 97 + j], f"other{rng.random()}", *words[98 + j :]]) for j in range(3)}
+    rows = jaccard_components(documents(spark, texts.items()), 5, Threshold(80, 100)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {i: i - i % 3 for i in texts}
+    assert made[0] <= 20 * 12  # about 40 shared shingles a text; sets of members: abc, ab, ac, bc
+    assert count.value <= 20 * 12
+
+
 def test_join_of_empty_and_odd_tables(spark):
     assert jaccard_components(documents(spark, [(1, "a")]).where("doc_id > 5")).count() == 0
     rows = jaccard_components(documents(spark, [(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (9, None)]).withColumn("id", F.lit(0)).withColumn("n", F.lit(0))).collect()

@@ -5,7 +5,9 @@
 2. Two sets over the threshold share a shingle among the first n - ceil(t n) + 1 of each, in any order common to all.
    The order puts the shingles that a bounded sample found common last; it decides the cost, never the result. Each such
    shingle that two classes share is a cell; all others are dropped after a pre-aggregated count. Cells only route: they say
-   which classes meet in one index.
+   which classes meet in one index. Near copies share many shingles, so most cells have the very members of another (by
+   their number and two 64-bit hashes of them), and one of these stands for all. Cells of one least member go to one bucket,
+   where a pair that several of them find is given once.
 3. Tokens are hashed into GROUPS groups; the counts by group are a class's point. Each cell's points go into a packed
    R-tree, which finds the pairs whose summed coordinate minima (from above: the minima with a node's upper corner) allow
    the overlap needed. Every candidate pair comes from this index.
@@ -231,6 +233,16 @@ def block_pairs(large: DataFrame, t: Threshold) -> DataFrame:
     return side("i", 0).unionByName(side("j", 1))
 
 
+def distinct_cells(keyed: DataFrame) -> DataFrame:
+    """Of the keys of two classes or more (columns key, cls) one for each set of classes, with its size m, and near: equal
+    for cells of one least class, up to about BUCKET rows."""
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "cls")).alias(f"x{k}") for k in (1, 2)]
+    cells = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("cls").alias("lo"), *marks).where("m > 1")
+    cells = materialize(cells.groupBy("m", "x1", "x2").agg(F.min("key").alias("key"), F.first("lo").alias("lo")).select("key", "m", "lo"), "cells")
+    parts = cells.groupBy("lo").agg(F.ceil(F.sum("m") / BUCKET).alias("parts"))
+    return cells.join(parts, "lo").select("key", "m", F.xxhash64("lo", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("near"))
+
+
 def candidate_pairs(members: DataFrame, comps: DataFrame | None, classes: DataFrame, t: Threshold, nearest: int | None, salt: int) -> DataFrame:
     """Pairs (a, b) with their bound (ratio) that the index finds in cells of more than one component; without comps every
     class is one. With nearest, a class of a cell of several blocks meets its own block only."""
@@ -238,13 +250,13 @@ def candidate_pairs(members: DataFrame, comps: DataFrame | None, classes: DataFr
     if comps is None:
         own = members.withColumn("comp", F.col("cls"))
     else:
-        own = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).select("key", "cls", "m", "comp")
+        own = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).select("key", "cls", "m", "near", "comp")
         # a cell of NEAREST members and one more was wholly searched in the first round
         open_cells = own.where(F.col("m") > NEAREST + 1).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         own = own.join(open_cells, "key")
-    rows = materialize(own.join(classes.select("cls", "n", "counts"), "cls").select("key", "cls", "comp", "n", "counts", "m"), "rows")
+    rows = materialize(own.join(classes.select("cls", "n", "counts"), "cls").select("key", "cls", "comp", "n", "counts", "m", "near"), "rows")
     total = rows.count()
-    small = rows.where(F.col("m") <= CELL).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // BUCKET))))).withColumn("side", F.lit(0))
+    small = rows.where(F.col("m") <= CELL).withColumn("bucket", F.pmod("near", F.lit(max(1, -(-total // BUCKET))))).withColumn("side", F.lit(0))
     pairs = small.groupBy("bucket").applyInArrow(cell_join(t, nearest), schema)
     large = rows.where(F.col("m") > CELL)
     if not large.isEmpty():
@@ -336,8 +348,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: Threshold = Threshold(
         classes = materialize(equal.withColumn("cls", F.monotonically_increasing_id()), "classes")
         docs = docs.where("id IS NOT NULL")
         exploded = classes.select(F.explode("keys").alias("key"), "cls")
-        cells = materialize(exploded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "cells")
-        members = materialize(exploded.join(cells, "key").select("key", "cls", "m"), "members")
+        members = materialize(exploded.join(distinct_cells(exploded), "key").select("key", "cls", "m", "near"), "members")
         near = materialize(candidate_pairs(members, None, classes, t, NEAREST, 0), "near")
         best = near.groupBy("b").agg(F.max_by("a", F.struct("ratio", "a")).alias("a"))
         links = verify(best, classes, docs, size, t)
