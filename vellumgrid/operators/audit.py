@@ -57,7 +57,7 @@ def in_block(name: str, d: Dialect, pattern: str, cond, span: int = 1, replaceme
     parts = (
         ("cut", f"SELECT doc_id, block_index, text, {d.extract_all('text', pattern)} AS pieces FROM blocks WHERE {where}"),
         ("found", d.explode("cut", "doc_id, block_index, text, pieces", places, "i")),
-        ("placed", f"SELECT doc_id, block_index, text, pieces, i, CAST(length({d.join(d.head('pieces', f'{first} - 1'))}) AS BIGINT) AS char_start, CAST(length({d.join(d.head('pieces', last))}) AS BIGINT) AS char_end FROM found"),
+        ("placed", f"SELECT doc_id, block_index, text, pieces, i, CAST(length({d.join(d.head('pieces', f'{first} - 1'))}) AS BIGINT) AS char_start, CAST({d.length_to('pieces', first, last, span)} AS BIGINT) AS char_end FROM found"),
     )
     fix = replacement(at) if callable(replacement) else replacement
     kind = d.kind("string")
@@ -73,7 +73,9 @@ def word_duplication(d: Dialect, pack: LanguagePack = TURKISH) -> Statement:
     """A word directly after itself, blanks between; not numbers, one or two letters, or words of the pack."""
     low = lambda e: f.tr_lower(d, e)
     cond = lambda at: f"({d.like(at(0), '^' + f.WORD)} AND {d.like(at(1), '^ +$')} AND {low(at(0))} = {low(at(2))} AND length({at(0)}) > 2 AND NOT {d.like(at(0), '^[0-9]+$')} AND {low(at(0))} NOT IN ({d.strings(pack.repeatable)}))"
-    return in_block("r01_word_duplication", d, f.PIECES, cond, span=2, lead=1, replacement="''")
+    # small letters of a whole text end words with either sigma
+    twice = d.like(f"replace({low('text')}, 'ς', 'σ')", f"(?:^|[^{f.WORD[1:]})({f.WORD}{{3,}}+) +\\1(?!{f.WORD})")
+    return in_block("r01_word_duplication", d, f.PIECES, cond, span=2, lead=1, replacement="''", where=d.sieve(twice))
 
 
 #: Sentences and what lies between: a sentence ends with . ! or ? before a blank or the end.
@@ -245,13 +247,13 @@ def separate_writing(d: Dialect, pack: LanguagePack = TURKISH) -> Statement:
     low = lambda e: f.tr_lower(d, e)
     match = lambda e: " OR ".join(f"({low(e)} LIKE {d.lit(c + '%')} AND length({e}) <= {len(c) + 6})" for c, _ in pack.compounds)
     fixes = lambda at: "CASE " + " ".join(f"WHEN {low(at(0))} LIKE {d.lit(c + '%')} THEN concat({d.lit(to)}, substring({low(at(0))}, {len(c) + 1}))" for c, to in sorted(pack.compounds, key=lambda x: -len(x[0]))) + " END"
-    return in_block("r37_separate_writing", d, f.PIECES, lambda at: f"(({match(at(0))}) AND {low(at(0))} NOT IN ({d.strings(pack.accepted)}))", replacement=fixes)
+    return in_block("r37_separate_writing", d, f.PIECES, lambda at: f"(({match(at(0))}) AND {low(at(0))} NOT IN ({d.strings(pack.accepted)}))", replacement=fixes, where=d.sieve(d.holds_any(low("text"), [c for c, _ in pack.compounds])))
 
 
 def user_dictionary(d: Dialect, pack: LanguagePack = TURKISH) -> Statement:
     low = lambda e: f.tr_lower(d, e)
     fix = lambda at: "CASE " + " ".join(f"WHEN {low(at(0))} = {d.lit(a)} THEN {f.carry_case(d, at(0), d.lit(b))}" for a, b in pack.corrections) + " END"
-    return in_block("r38_user_dictionary", d, f.PIECES, lambda at: f"({low(at(0))} IN ({d.strings(a for a, _ in pack.corrections)}))", replacement=fix)
+    return in_block("r38_user_dictionary", d, f.PIECES, lambda at: f"({low(at(0))} IN ({d.strings(a for a, _ in pack.corrections)}))", replacement=fix, where=d.sieve(d.holds_any(low("text"), [a for a, _ in pack.corrections])))
 
 
 STATEMENTS = {

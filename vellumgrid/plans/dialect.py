@@ -38,6 +38,13 @@ class Dialect:
     def like(self, s: str, pattern: str) -> str:
         return f"coalesce(regexp_like({s}, {self.lit(pattern)}), false)"
 
+    def sieve(self, cond: str) -> str:
+        """A condition that every row of the result meets, cheaper than the work it saves; not part of the compared SQL."""
+        return cond
+
+    def holds_any(self, s: str, parts) -> str:
+        return self.like(s, "|".join(f"\\Q{p}\\E" for p in parts))
+
     def count(self, s: str, pattern: str) -> str:
         return f"CAST(regexp_count({s}, {self.lit(pattern)}) AS BIGINT)"
 
@@ -71,6 +78,10 @@ class Dialect:
     def posexplode(self, relation: str, columns: str, a: str, pos: str, name: str) -> str:
         return f"SELECT {columns}, CAST({pos} AS BIGINT) AS {pos}, {name} FROM {relation} LATERAL VIEW posexplode({a}) AS {pos}, {name}"
 
+    def length_to(self, a: str, first: str, last: str, n: int) -> str:
+        """Length of the texts up to the last-th, n after those before the first-th (whose length is computed once)."""
+        return f"length({self.join(self.head(a, f'{first} - 1'))}) + length({self.join(f'slice({a}, CAST({first} AS INT), {n})')})"
+
     def split(self, s: str, by: str) -> str:
         return f"split({s}, {self.lit(by)})"
 
@@ -123,6 +134,9 @@ class Dialect:
 class Duck(Dialect):
     """The SQL that results are compared with."""
 
+    def sieve(self, cond: str) -> str:
+        return "true"
+
     def lit(self, s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 
@@ -159,6 +173,9 @@ class Duck(Dialect):
     def head(self, a: str, n: str) -> str:
         return f"({a})[1:CAST({n} AS BIGINT)]"
 
+    def length_to(self, a: str, first: str, last: str, n: int) -> str:
+        return f"length({self.join(self.head(a, last))})"
+
     def join(self, a: str, sep: str = "") -> str:
         return f"coalesce(array_to_string({a}, {self.lit(sep)}), '')"
 
