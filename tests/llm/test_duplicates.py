@@ -82,6 +82,75 @@ def test_near_copies_meet_once_however_many_shingles_they_share(spark, monkeypat
     assert count.value <= 20 * 12
 
 
+def routed(monkeypatch):
+    """Rows of the cells that the join's first round is given."""
+    made, whole = [], ngram_join.candidate_pairs
+
+    def first(members, comps, *rest):
+        if comps is None:
+            made.append(members.count())
+        return whole(members, comps, *rest)
+
+    monkeypatch.setattr(ngram_join, "candidate_pairs", first)
+    return made
+
+
+def test_texts_that_share_common_words_only_meet_in_no_cell(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COMMON", 0)  # as if the sample had missed the shingles shared
+    made, rng = routed(monkeypatch), random.Random(3)
+    texts = {}
+    for i in range(200):
+        w = [rng.choice("abcdef") for _ in range(100)]
+        w[20:80:5] = [f"own{i}x{k}" for k in range(12)]
+        texts[i] = " ".join(w)
+    texts[777] = texts[5] + " and more"
+    rows = jaccard_components(documents(spark, texts.items()), 3, Threshold(90, 100)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == components(texts, 3, 90, 100)
+    assert made == [2]
+
+
+def test_texts_of_sizes_that_cannot_link_meet_in_no_cell(spark, monkeypatch):
+    made = routed(monkeypatch)
+    texts, n = {}, 60
+    for i in range(0, 60, 2):
+        # each pair shares its words with all, and is a seventh longer than the pair before
+        texts[i] = " ".join(f"w{k}" for k in range(n))
+        texts[i + 1] = texts[i] + f" last{i}"
+        n += n // 7 + 1
+    rows = jaccard_components(documents(spark, texts.items()), 3, Threshold(90, 100)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {i: i - i % 2 for i in texts}
+    assert 60 <= made[0] <= 300
+
+
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (1, 2), (1, 1)])
+def test_bands_part_only_sizes_that_cannot_link(num, den):
+    t = Threshold(num, den)
+    sizes = np.arange(1, 3000)
+    band = np.searchsorted(t.bands(), sizes, "right") - 1
+    for n in sizes.tolist():
+        near = sizes[(sizes >= n) & (num * sizes <= den * n)]
+        assert set((band[near - 1] - band[n - 1]).tolist()) <= {0, 1}
+        same = sizes[band == band[n - 1]]
+        assert num * same.max() <= den * same.min()
+
+
+def test_cells_hold_all_of_a_shingle_whose_sizes_may_link(spark):
+    rng, t = random.Random(4), Threshold(90, 100)
+    rows = []
+    for key in range(80):
+        sizes = rng.sample(range(1, 40) if key % 4 == 0 else range(1, 20_000), 2 + key // 4)
+        band = (np.searchsorted(t.bands(), sizes, "right") - 1) % ngram_join.BITS
+        rows += [(key, 1000 * key + i, n, b) for i, (n, b) in enumerate(zip(sizes, band.tolist(), strict=True))]
+    cells = {r.cls: r.key for r in ngram_join.cells_of(spark.createDataFrame(rows, "key bigint, cls bigint, n bigint, band int"), t).collect()}
+    cut = 0
+    for k, a, n, _ in rows:
+        for j, b, m, _ in rows:
+            if k == j and n < m and 90 * m <= 100 * n:
+                assert cells[a] == cells[b]
+            cut += k == j and a < b and cells.get(a) != cells.get(b)
+    assert cut > 1000
+
+
 def test_join_of_empty_and_odd_tables(spark):
     assert jaccard_components(documents(spark, [(1, "a")]).where("doc_id > 5")).count() == 0
     rows = jaccard_components(documents(spark, [(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (9, None)]).withColumn("id", F.lit(0)).withColumn("n", F.lit(0))).collect()

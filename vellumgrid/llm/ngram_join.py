@@ -3,11 +3,13 @@
 1. A text's set is its distinct runs of words, as 64-bit hashes. Texts with equal sets form a class (two independent 64-bit
    hashes of the set, and its size).
 2. Two sets over the threshold share a shingle among the first n - ceil(t n) + 1 of each, in any order common to all.
-   The order puts the shingles that a bounded sample found common last; it decides the cost, never the result. Each such
-   shingle that two classes share is a cell; all others are dropped after a pre-aggregated count. Cells only route: they say
-   which classes meet in one index. Near copies share many shingles, so most cells have the very members of another (by
-   their number and two 64-bit hashes of them), and one of these stands for all. Cells of one least member go to one bucket,
-   where a pair that several of them find is given once.
+   The order is by how common the words of a shingle are, and puts the shingles that texts share last, both as a bounded
+   sample has them: shingles of rare words are seldom shared by chance. It decides the cost, never the result. Shingles that
+   no two classes share are dropped after a pre-aggregated count. The classes of the others are cut into cells where no size
+   of one side is near enough to one of the other to link. Cells only route: they say which classes meet in one index. Near
+   copies share many shingles, so most cells have the very members of another (by their number and two 64-bit hashes of
+   them), and one of these stands for all. Cells of one least member go to one bucket, where a pair that several of them
+   find is given once.
 3. Tokens are hashed into GROUPS groups; the counts by group are a class's point. Each cell's points go into a packed
    R-tree, which finds the pairs whose summed coordinate minima (from above: the minima with a node's upper corner) allow
    the overlap needed. Every candidate pair comes from this index.
@@ -28,13 +30,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumgrid.llm.bytehash import mix
 from vellumgrid.llm.common import materialize, retain, scratch, trim_memory
 from vellumgrid.llm.components import connected_components
-from vellumgrid.llm.shingles import shingle_sets
+from vellumgrid.llm.shingles import shingle_sets, weighed_sets, word_blocks
 
 #: Hash groups of a count vector; entries of an R-tree node; members of a cell, or block of one, at most.
 GROUPS, FANOUT, CELL = 256, 16, 2048
@@ -42,15 +44,17 @@ GROUPS, FANOUT, CELL = 256, 16, 2048
 FULL = 255
 #: Partners of a member in all rounds but the last.
 NEAREST = 4
-#: Texts sampled for common shingles; shingles held as common, at most.
-SAMPLE, COMMON = 20_000, 200_000
+#: Texts sampled for common shingles and words; shingles held as common, at most; bits of a word's hash that its count goes by.
+SAMPLE, COMMON, WORDS = 20_000, 200_000, 20
+#: Bits of a set of size bands; the bands repeat after them.
+BITS = 63
 #: Cell members handed to one Python call, about.
 BUCKET = 20_000
 #: Ids that are broadcast to find their texts, at most; beyond that texts and ids are shuffled.
 BROADCAST = 200_000
 #: Texts, or pairs, whose sets are held at once.
 ROWS = 500
-_SECOND = np.uint64(0xD6E8FEB86659FD93)
+_SECOND, _HASH = np.uint64(0xD6E8FEB86659FD93), np.uint64((1 << 56) - 1)
 
 
 @dataclass(frozen=True)
@@ -63,6 +67,14 @@ class Threshold:
     def prefix(self, n: int) -> int:
         return n - -(-self.num * n // self.den) + 1
 
+    def bands(self, most: int = 4096) -> np.ndarray:
+        """Least sizes of bands such that sets of one band may link, and those of bands that are not neighbours cannot; the
+        last one holds all above."""
+        least = [1]
+        while len(least) < most and least[-1] < 1 << 40:
+            least.append(self.den * least[-1] // self.num + 1)
+        return np.array(least)
+
     def linked(self, common: int, a: int, b: int) -> bool:
         return self.den * common >= self.num * (a + b - common)
 
@@ -76,30 +88,45 @@ def class_of(s: np.ndarray) -> tuple[int, int]:
     return a, b
 
 
-def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
-    """Sorted hashes of shingles that two texts or more of a sample of about SAMPLE texts share, the COMMON most frequent."""
+def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """From a sample of about SAMPLE texts: the first 56 bits of the hashes of shingles that two of its texts or more share,
+    the COMMON most frequent, sorted; and for weighed_sets the logarithms of its words' counts."""
     n = docs.count()
     picked = docs.where(F.pmod(F.xxhash64(F.lit(13), "id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(1, n))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             found, texts = np.unique(np.concatenate(list(shingle_sets(batch.column(1), size))), return_counts=True)
-            yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(texts)], ["s", "texts"])
-
-    counts = picked.mapInArrow(run, "s bigint, texts bigint").groupBy("s").agg(F.sum("texts").alias("texts")).where("texts > 1")
-    found = counts.orderBy(F.desc("texts"), "s").limit(COMMON).select("s").toArrow()
-    return np.sort(found.column(0).to_numpy().view(np.uint64))
-
-
-def prefix_of(s: np.ndarray, t: Threshold, common: np.ndarray) -> np.ndarray:
-    """The first shingles of a set: those not common, then the common ones, each by hash."""
-    k = t.prefix(len(s))
+            counts = np.zeros(1 << WORDS, np.int64)
+            for words, _ in word_blocks(batch.column(1)):
+                np.add.at(counts, (words >> np.uint64(64 - WORDS)).astype(np.int64), 1)
+            seen = np.flatnonzero(counts)
+            key = np.concatenate([(found >> np.uint64(8)).astype(np.int64), seen])
+            yield pa.record_batch([pa.array(np.repeat([False, True], [len(found), len(seen)])), pa.array(key), pa.array(np.concatenate([texts, counts[seen]]))], ["word", "s", "texts"])
+
+    counts = picked.mapInArrow(run, "word boolean, s bigint, texts bigint").groupBy("word", "s").agg(F.sum("texts").alias("texts")).where("texts > 1")
+    counts = materialize(counts, "counts")
+    shared = counts.where("NOT word").orderBy(F.desc("texts"), "s").limit(COMMON).select("s").toArrow()
+    words = counts.where("word").select(F.col("s").cast("int"), "texts").toArrow()
+    weights = np.zeros(1 << WORDS, np.uint8)
+    if words.num_rows:
+        logs = np.log2(words.column(1).to_numpy())
+        weights[words.column(0).to_numpy()] = logs * (255 // size / logs.max())
+    return np.sort(shared.column(0).to_numpy().view(np.uint64)), weights
+
+
+def prefix_of(marks: np.ndarray, k: int, common: np.ndarray) -> np.ndarray:
+    """The first k of a set's marks: those not common, then the common ones, each in order."""
     if not len(common):
-        return s[:k]
-    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-    seen = common[at] == s
-    rare = s[~seen]
-    return rare[:k] if len(rare) >= k else np.concatenate([rare, s[seen][: k - len(rare)]])
+        return marks[:k]
+    n = 2 * k
+    while True:  # most sets need but a part of their marks looked up
+        head = marks[:n] & _HASH
+        seen = common[np.minimum(np.searchsorted(common, head), len(common) - 1)] == head
+        rare = marks[:n][~seen]
+        if len(rare) >= k or n >= len(marks):
+            return rare[:k] if len(rare) >= k else np.concatenate([rare, marks[:n][seen][: k - len(rare)]])
+        n *= 2
 
 
 class RTree:
@@ -233,14 +260,32 @@ def block_pairs(large: DataFrame, t: Threshold) -> DataFrame:
     return side("i", 0).unionByName(side("j", 1))
 
 
-def distinct_cells(keyed: DataFrame) -> DataFrame:
-    """Of the keys of two classes or more (columns key, cls) one for each set of classes, with its size m, and near: equal
+def may_link(t: Threshold) -> Column:
+    """Of a group's number of members m and extreme sizes lo and hi: if two of them may link (from three on: may be)."""
+    return (F.col("m") > 2) | ((F.col("m") == 2) & (F.col("hi") * t.num <= F.col("lo") * t.den))
+
+
+def cells_of(keyed: DataFrame, t: Threshold) -> DataFrame:
+    """Of classes by shingle (columns key, cls, n, band: modulo BITS), those that may link to another of their shingle, by
+    cells (key): no two of one shingle's are of bands that are equal or neighbours."""
+    extent = [F.count("*").alias("m"), F.min("n").alias("lo"), F.max("n").alias("hi")]
+    shared = keyed.groupBy("key").agg(*extent, F.bit_or(F.expr("shiftleft(1L, band)")).alias("bands")).where(may_link(t)).select("key", "bands")
+    # runs of bands begin where the one before is empty; the last one goes on at the first band
+    begins = F.col("bands").bitwiseAND(F.bitwise_not(F.shiftleft("bands", 1).bitwiseOR(F.shiftright("bands", BITS - 1))))
+    upto = F.bit_count(F.col("begins").bitwiseAND(F.expr(f"shiftrightunsigned(-1L, {BITS} - band)")))
+    rows = keyed.join(shared.select("key", begins.alias("begins")), "key")
+    rows = rows.select(F.xxhash64("key", F.pmod(upto, F.greatest(F.lit(1), F.bit_count("begins")))).alias("key"), "cls", "n")
+    return materialize(rows, "shared")
+
+
+def distinct_cells(shared: DataFrame, t: Threshold) -> DataFrame:
+    """Of the cells (columns key, cls, n) that may hold a link one for each set of classes, with its size m, and near: equal
     for cells of one least class, up to about BUCKET rows."""
     marks = [F.bit_xor(F.xxhash64(F.lit(k), "cls")).alias(f"x{k}") for k in (1, 2)]
-    cells = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("cls").alias("lo"), *marks).where("m > 1")
-    cells = materialize(cells.groupBy("m", "x1", "x2").agg(F.min("key").alias("key"), F.first("lo").alias("lo")).select("key", "m", "lo"), "cells")
-    parts = cells.groupBy("lo").agg(F.ceil(F.sum("m") / BUCKET).alias("parts"))
-    return cells.join(parts, "lo").select("key", "m", F.xxhash64("lo", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("near"))
+    cells = shared.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("cls").alias("least"), *marks).where(may_link(t))
+    cells = materialize(cells.groupBy("m", "x1", "x2").agg(F.min("key").alias("key"), F.first("least").alias("least")).select("key", "m", "least"), "cells")
+    parts = cells.groupBy("least").agg(F.ceil(F.sum("m") / BUCKET).alias("parts"))
+    return cells.join(parts, "least").select("key", "m", F.xxhash64("least", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("near"))
 
 
 def candidate_pairs(members: DataFrame, comps: DataFrame | None, classes: DataFrame, t: Threshold, nearest: int | None, salt: int) -> DataFrame:
@@ -325,30 +370,32 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: Threshold = Threshold(
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     ids = docs.schema["id"].dataType.simpleString()
-
-    common = common_shingles(docs, size)
+    bands = t.bands()
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
-            sets = list(shingle_sets(batch.column(1), size))
+            sets, marks = map(list, zip(*weighed_sets(batch.column(1), size, weights), strict=True))
             cls = [class_of(s) if len(s) else (None, None) for s in sets]
             counts = pa.array([count_vector(s) for s in sets], pa.binary())
             # sets that only equal sets can link to need no keys
-            keys = [prefix_of(s, t, common) if t.den * len(s) >= t.num * (len(s) + 1) else s[:0] for s in sets]
+            keys = [prefix_of(m, t.prefix(len(s)), common) if t.den * len(s) >= t.num * (len(s) + 1) else m[:0] for s, m in zip(sets, marks, strict=True)]
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64()))
             h1, h2 = (pa.array([c[k] for c in cls], pa.int64()) for k in range(2))
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), h1, h2, counts, lists], ["id", "n", "h1", "h2", "counts", "keys"])
+            sizes = np.array([len(s) for s in sets])
+            band = pa.array(((np.searchsorted(bands, sizes, "right") - 1) % BITS).astype(np.int32))
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), h1, h2, band, counts, lists], ["id", "n", "h1", "h2", "band", "counts", "keys"])
         trim_memory()
 
     with scratch(spark):
-        profile = materialize(docs.mapInArrow(profiles, f"id {ids}, n bigint, h1 bigint, h2 bigint, counts binary, keys array<bigint>"), "profile")
+        common, weights = common_shingles(docs, size)
+        profile = materialize(docs.mapInArrow(profiles, f"id {ids}, n bigint, h1 bigint, h2 bigint, band int, counts binary, keys array<bigint>"), "profile")
         known = profile.where("h1 IS NOT NULL AND id IS NOT NULL")
-        equal = known.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("counts").alias("counts"), F.first("keys").alias("keys"))
+        equal = known.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), *[F.first(k).alias(k) for k in ("band", "counts", "keys")])
         classes = materialize(equal.withColumn("cls", F.monotonically_increasing_id()), "classes")
         docs = docs.where("id IS NOT NULL")
-        exploded = classes.select(F.explode("keys").alias("key"), "cls")
-        members = materialize(exploded.join(distinct_cells(exploded), "key").select("key", "cls", "m", "near"), "members")
+        shared = cells_of(classes.select(F.explode("keys").alias("key"), "cls", "n", "band"), t)
+        members = materialize(shared.join(distinct_cells(shared, t), "key").select("key", "cls", "m", "near"), "members")
         near = materialize(candidate_pairs(members, None, classes, t, NEAREST, 0), "near")
         best = near.groupBy("b").agg(F.max_by("a", F.struct("ratio", "a")).alias("a"))
         links = verify(best, classes, docs, size, t)

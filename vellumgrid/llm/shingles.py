@@ -29,24 +29,44 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return span_hashes(prefix_sums(data), starts, ends), np.searchsorted(starts, offsets)
 
 
-def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
-    """The sorted distinct hashes of each text's runs of `size` words; of all its words if it has fewer; none without words."""
+def word_blocks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """word_hashes of a column, about BLOCK bytes of whole texts at a time."""
     data, offsets = buffer_of(texts)
     begin, n = 0, len(texts)
     while begin < n:
         end = min(n, max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + BLOCK, "right")) - 1))
-        words, places = word_hashes(data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin])
+        yield word_hashes(data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin])
+        begin = end
+
+
+def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's runs of `size` words; of all its words if it has fewer; none without words."""
+    return (s for s, _ in weighed_sets(texts, size, np.zeros(1, np.uint8)))
+
+
+def weighed_sets(texts: pa.Array, size: int, weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """shingle_sets, each with its sorted distinct marks: the first 56 bits of a hash below the sum of its words' weights.
+
+    weights: a byte by the first bits of a word's hash (2**k of them), so small that `size` of them add up to a byte. Without
+    weights (one byte) there are no marks. All the words of a text of fewer weigh nothing."""
+    shift = np.uint64(65 - len(weights).bit_length())
+    for words, places in word_blocks(texts):
         runs = words.copy()
         for k in range(1, size):
             runs[: len(words) - k] = mix(runs[: len(words) - k] * _STEP + words[k:]) if len(words) > k else runs[:0]
+        marks = words[:0]
+        if len(weights) > 1:
+            sums = np.concatenate([[0], np.cumsum(weights[words >> shift], dtype=np.uint64)]).astype(np.uint64)
+            marks = runs >> np.uint64(8)
+            marks[: max(0, len(words) - size + 1)] |= (sums[size:] - sums[: max(0, len(words) - size + 1)]) << np.uint64(56)
         for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True):
             if b - a >= size:
-                yield np.unique(runs[a : b - size + 1])
+                yield np.unique(runs[a : b - size + 1]), np.unique(marks[a : b - size + 1])
             elif b > a:
                 whole = words[a : a + 1]
                 for w in words[a + 1 : b]:
                     whole = mix(whole * _STEP + w)
-                yield mix(whole + np.uint64(b - a))
+                whole = mix(whole + np.uint64(b - a))
+                yield whole, whole >> np.uint64(8)
             else:
-                yield words[:0]
-        begin = end
+                yield words[:0], words[:0]
