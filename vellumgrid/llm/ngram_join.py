@@ -103,6 +103,7 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
             seen = np.flatnonzero(counts)
             key = np.concatenate([(found >> np.uint64(8)).astype(np.int64), seen])
             yield pa.record_batch([pa.array(np.repeat([False, True], [len(found), len(seen)])), pa.array(key), pa.array(np.concatenate([texts, counts[seen]]))], ["word", "s", "texts"])
+        trim_memory()
 
     counts = picked.mapInArrow(run, "word boolean, s bigint, texts bigint").groupBy("word", "s").agg(F.sum("texts").alias("texts")).where("texts > 1")
     counts = materialize(counts, "counts")
